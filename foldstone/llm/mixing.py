@@ -7,7 +7,7 @@ a prefix, so L is the maximum over k of (budget - capacities before k) / (weight
 
 Documents are then repeated ``floor(target / size)`` times, and the rest is a seeded sample without replacement:
 documents in the order of a keyed hash are taken once more while the middle of the document lies below the rest.
-The order is found with 4096 hash buckets per source, so no task sees a whole source.
+With 4096 hash buckets per source, only the bucket where the rest ends is sorted, so no task sees a whole source.
 
 Edge cases: a null text has size 0; null sources form one source, the last; sources of size 0 get target 0; equal
 hashes (repeated rows) are ordered by id and size, so the result is the same for any input order; an empty table
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import stored, words_in
+from foldstone.llm.common import small_enough, stored, words_in
 
 _BUCKET = 1 << 40
 
@@ -48,18 +48,50 @@ def order_key(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target (its source's), copies, taken = copies * size."""
-    thin = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")).withColumn("u", order_key(F.col("doc_id"), seed)).withColumn("b", F.floor(F.col("u") / _BUCKET).cast("int")), "mix")
-    buckets = thin.groupBy("source", "b").agg(F.sum("size").alias("bucket_size"))
-    sources = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    targets = water_fill(cyclic_weights(sources, weights), share, max_epochs)
+def _key(size: Column, doc_id: Column, seed: int) -> Column:
+    """The sampling order: a keyed hash, then id and size for ties."""
+    return F.struct(order_key(doc_id, seed).alias("u"), doc_id.cast("string").alias("id"), size.alias("n"))
+
+
+def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, most_broadcast: int = 500_000) -> DataFrame:
+    """``docs`` with size, source_size, target (its source's) and copies.
+
+    A source's decision is one row: whole repetitions, and the last document of the order that is taken once more.
+    Only the bucket in which that one lies is sorted; texts stay where they are, as the decisions are broadcast (beyond
+    ``most_broadcast`` sources: joined by salted source).
+    """
+    thin = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), F.col(id_col).alias("doc_id"))
+    thin = stored(thin.select("source", _key(F.col("size"), F.col("doc_id"), seed).alias("k")), "mix")
+    bucket = F.floor(F.col("k.u") / _BUCKET).cast("int")
+    buckets = thin.groupBy("source", bucket.alias("b")).agg(F.sum("k.n").alias("bucket_size"))
+    buckets = stored(buckets, "mix-buckets")
+    targets = water_fill(cyclic_weights(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights), share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = stored(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
     ahead = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    plan = buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(F.col("p.source").alias("s"), F.col("b").alias("pb"), "ahead", "source_size", "target", "whole", "rest")
-    inside = W.partitionBy("s", "pb").orderBy("u", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    joined = thin.join(plan, (F.col("b") == F.col("pb")) & F.col("source").eqNullSafe(F.col("s")))
-    start = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    copies = F.col("whole") + (start + F.col("size") / 2.0 <= F.col("rest")).cast("long")
-    return joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    placed = buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
+    own = targets.select(F.col("source").alias("s"), "rest")
+    cut = placed.join(own, F.col("source").eqNullSafe(F.col("s"))).where(F.col("ahead") + F.col("bucket_size") > F.col("rest"))
+    cut = cut.groupBy("source").agg(F.min_by(F.struct("b", "ahead", "rest"), "b").alias("c")).select(F.col("source").alias("s"), "c.*")
+    inside = W.partitionBy("s").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    edge = thin.withColumn("own_b", bucket).join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("own_b") == F.col("b")))
+    start = F.col("ahead") + F.coalesce(F.sum("k.n").over(inside), F.lit(0))
+    last = edge.withColumn("in", start + F.col("k.n") / 2.0 <= F.col("rest")).groupBy(F.col("s").alias("e")).agg(F.max(F.when(F.col("in"), F.col("k"))).alias("last"), F.first("b").alias("cut"))
+    plan = targets.join(last, F.col("source").eqNullSafe(F.col("e")), "left").select(F.col("source").alias("__s"), "source_size", "target", F.col("whole").alias("__whole"), F.col("last").alias("__last"), F.col("cut").alias("__cut"))
+    plan = stored(plan, "mix-plan")
+    sized = docs.withColumn("size", words_in(F.col(text_col)))
+    if small_enough(plan, most_broadcast):
+        joined = sized.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("__s")))
+    else:
+        salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        joined = sized.withColumn("__own", F.pmod(F.xxhash64(id_col), F.lit(64)).cast("int")).join(salted, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
+    key = _key(F.col("size"), F.col(id_col), seed)
+    more = (F.floor(key["u"] / _BUCKET) < F.col("__cut")) | ((F.floor(key["u"] / _BUCKET) == F.col("__cut")) & F.coalesce(key <= F.col("__last"), F.lit(False)))
+    copies = F.col("__whole") + F.coalesce(more, F.lit(False)).cast("long")
+    return joined.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long")).drop("__s", "__whole", "__last", "__cut")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target (its source's), copies, taken = copies * size."""
+    decided = decide(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), **how)
+    return decided.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
