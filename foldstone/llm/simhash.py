@@ -10,8 +10,8 @@ around them meet, so each fingerprint that shares a bucket with another is linke
 ball members.  A bucket of thousands costs 65 rows each, never thousands squared.
 
 ``near_duplicates`` serves five-word shingles and a Jaccard similarity of 0.8: candidates come from covering tables
-over fingerprints of two-word shingles (which an edit moves least), and every candidate pair of distinct texts is
-confirmed on its whole sets of five-word shingles.
+over ``prints`` fingerprints of the set of two-word shingles (which an edit moves least): every pair that is within the
+radius by either of them is found, and farther ones by chance.  Every candidate pair of distinct texts is confirmed on its whole sets of five-word shingles.
 
 Edge cases: null and wordless texts have fingerprint 0, linked like any other; texts shorter than a shingle count as
 one; a null id takes part and, if alone, has a null component; repeated rows are linked; empty tables give none.
@@ -59,6 +59,15 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
 
 
+def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent set of hashes made from one (0: the hashes themselves)."""
+    if not k:
+        return hashes
+    h = (hashes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long)."""
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -83,9 +92,9 @@ def covering_masks(radius: int, bits: int = 64, seed: int = 5) -> list[int]:
     return masks
 
 
-def _tables(fps: DataFrame, radius: int) -> Column:
+def _tables(fps: DataFrame, radius: int, *more: Column) -> Column:
     """One key for each covering table: a hash of the table's number and the masked fingerprint."""
-    return F.explode(F.transform(F.array(*[F.lit(m) for m in covering_masks(radius)]), lambda m, t: F.xxhash64(t, m.bitwiseAND(F.col("fp")))))
+    return F.explode(F.transform(F.array(*[F.lit(m) for m in covering_masks(radius)]), lambda m, t: F.xxhash64(t, m.bitwiseAND(F.col("fp")), *more)))
 
 
 def links_within_two(fps: DataFrame) -> DataFrame:
@@ -113,24 +122,23 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would count the absolute value
 
 
 def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int = 512) -> DataFrame:
     """(a, b) with a < b of ids whose fingerprints share a covering table and differ in at most ``most_bits``.
 
-    ``reps`` has (id, fp, n).  Buckets stream through in key order; a bucket is compared block by block on
-    fingerprints in numpy, so a task holds 24 bytes a member, and only pairs within ``most_bits`` and of sizes that
-    allow the similarity are put out.
+    ``reps`` has (id, fps: one or more fingerprints).  Buckets stream through in key order; a bucket is compared block by block on
+    fingerprints in numpy, so a task holds 24 bytes a member, and only pairs within ``most_bits`` are put out.
     """
-    keyed = reps.select(_tables(reps, radius).alias("key"), "id", "fp", "n")
+    each = reps.select("id", F.posexplode("fps").alias("print", "fp"))
+    keyed = each.select(_tables(each, radius, F.col("print")).alias("key"), "id", "fp")
     sorted_ = keyed.repartition("key").sortWithinPartitions("key")
 
-    def within(i: np.ndarray, f: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(i: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for p in range(0, len(i), block):
             for q in range(p, len(i), block):
                 near = _popcount(f[p : p + block, None] ^ f[None, q : q + block]) <= most_bits
-                near &= np.minimum(n[p : p + block, None], n[None, q : q + block]) >= 0.8 * np.maximum(n[p : p + block, None], n[None, q : q + block])
                 x, y = np.nonzero(np.triu(near, 1) if p == q else near)
                 if len(x):
                     a, b = i[p + x], i[q + y]
@@ -148,8 +156,8 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """All buckets of ``rows`` (key, id, fp, n), which are complete: short runs by lag, long ones by block."""
-            key, i, f, n = rows
+            """All buckets of ``rows`` (key, id, fp), which are complete: short runs by lag, long ones by block."""
+            key, i, f = rows
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             sizes = np.diff(cuts)
             lag, most = 1, int(min(sizes.max(initial=0), 64))
@@ -159,7 +167,7 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
             while len(at) and lag < most:
                 at = at[at + lag < last[at]]
                 x, y = at, at + lag
-                ok = (_popcount(f[x] ^ f[y]) <= most_bits) & (np.minimum(n[x], n[y]) >= 0.8 * np.maximum(n[x], n[y]))
+                ok = _popcount(f[x] ^ f[y]) <= most_bits
                 if ok.any():
                     out_a.append(np.minimum(i[x[ok]], i[y[ok]]))
                     out_b.append(np.maximum(i[x[ok]], i[y[ok]]))
@@ -167,13 +175,13 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
                 lag += 1
             for k in np.flatnonzero(sizes > 64):
                 s = slice(cuts[k], cuts[k + 1])
-                for a, b in within(i[s], f[s], n[s]):
+                for a, b in within(i[s], f[s]):
                     out_a.append(a)
                     out_b.append(b)
                     yield from flush(50_000)
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
             # Only the last key may go on in the next batch.
             cut = int(np.searchsorted(rows[0], rows[0][-1], "left")) if rows.shape[1] else 0
             if cut:
@@ -188,26 +196,27 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
     return sorted_.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 6, most_bits: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 5, most_bits: int = 16) -> DataFrame:
     """(doc_id, component_id): texts linked at Jaccard >= ``similarity`` of their ``width``-word shingle sets.
 
     Texts with the same words are one class; links are found between class representatives only.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x in batch.column(1):
                 text = x.as_py()
                 words = (text or b"").lower().split()
                 same = xxhash.xxh128_digest(b" ".join(words)) if words else b""
-                rows.append((same, majority(shingle_hashes(text, 2)), max(1, len(words) - width + 1)))
-            same, fp, n = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "same", "fp", "n"])
+                hashes = np.unique(shingle_hashes(text, 2))
+                rows.append((same, [majority(_remixed(hashes, k)) for k in range(prints)]))
+            same, fps = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
 
-    all_ = stored(thin.mapInArrow(prints, "doc_id long, same binary, fp long, n long"), "prints")
-    reps = stored(all_.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n")).where("id is not null"), "reps")
+    all_ = stored(thin.mapInArrow(printed, "doc_id long, same binary, fps array<bigint>"), "prints")
+    reps = stored(all_.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps")).where("id is not null"), "reps")
     pairs = stored(candidate_pairs(reps, radius=radius, most_bits=most_bits), "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +227,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if small_enough(wanted, 4_000_000):
         wanted = F.broadcast(wanted)
     held = stored(thin.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s array<bigint>").groupBy("id").agg(F.first("s").alias("s")), "sets")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        both = some.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    # First each text against its least partner; then only pairs that those links don't join already, so that a family
+    # of thousands costs its members and not its pairs.
+    stars = stored(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a"))), "stars")
+    root = lambda of: stars.select(F.col("b").alias(f"of_{of}"), F.col("a").alias(f"root_{of}"))
+    rest = pairs.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    links = stars.union(confirmed(rest)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     linked = components(links)
     own = reps.join(linked, F.col("id") == F.col("node"), "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return all_.join(own, "same", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
