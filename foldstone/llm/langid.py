@@ -67,7 +67,7 @@ class Model:
         flat = len(self.languages)
 
         def mixture(chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
-            p = rows if len(chosen) == flat else rows[:, [*chosen, flat]]
+            p = rows if chosen == list(range(flat)) else rows[:, [*chosen, flat]]
             mix = np.full(p.shape[1], 1.0 / p.shape[1])
             for _ in range(rounds):
                 mix *= (count / (p @ mix)) @ p
@@ -124,7 +124,8 @@ def fit(labelled: DataFrame, *, text_col: str, lang_col: str, id_col: str, most_
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and noise."""
+    """``docs`` with lang_pred, score and noise; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "noise")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("noise")).schema
     place = docs.columns.index(text_col)
     known = docs.sparkSession.sparkContext.broadcast(model)
@@ -139,5 +140,5 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 
 
 def fold(doc_id: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo ``parts`` (null: -1, in no held-out part)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))

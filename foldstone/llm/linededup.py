@@ -39,7 +39,7 @@ def boilerplate(pages: DataFrame, *, host_col: str, text_col: str, max_ratio: fl
 
 
 def dedup_lines(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
-    """``pages`` with the boilerplate lines of each host cut from the text; adds ``n_lines`` and ``dropped_lines``."""
+    """``pages`` with the boilerplate lines of each host cut from the text; adds ``n_lines`` and ``dropped_lines`` (or replaces them)."""
     bad = stored(boilerplate(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
     sets = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_hash").alias("__bad"))
     if small_enough(bad, most_broadcast):

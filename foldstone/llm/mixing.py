@@ -54,12 +54,13 @@ def _key(size: Column, doc_id: Column, seed: int) -> Column:
 
 
 def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, most_broadcast: int = 500_000) -> DataFrame:
-    """``docs`` with size, source_size, target (its source's) and copies.
+    """``docs`` with size, source_size, target (its source's) and copies; columns of these names are replaced.
 
     A source's decision is one row: whole repetitions, and the last document of the order that is taken once more.
     Only the bucket in which that one lies is sorted; texts stay where they are, as the decisions are broadcast (beyond
     ``most_broadcast`` sources: joined by salted source).
     """
+    docs = docs.drop("size", "source_size", "target", "copies")
     thin = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), F.col(id_col).alias("doc_id"))
     thin = stored(thin.select("source", _key(F.col("size"), F.col("doc_id"), seed).alias("k")), "mix")
     bucket = F.floor(F.col("k.u") / _BUCKET).cast("int")

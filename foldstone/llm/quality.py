@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, between 0 and 1."""
+    """``docs`` with ``score``, between 0 and 1; a column of this name is replaced."""
+    docs = docs.drop("score")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
     place = docs.columns.index(text_col)
     known = docs.sparkSession.sparkContext.broadcast(machine)

@@ -42,7 +42,8 @@ def _digest(expression: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow", most_broadcast: int = 200_000) -> DataFrame:
-    """``pages`` with host, path, rule (null: none fits) and verdict."""
+    """``pages`` with host, path, rule (null: none fits) and verdict; columns of these names are replaced."""
+    pages = pages.drop("host", "path", "rule", "verdict")
     host, path = split_url(F.col(url_col))
     rules = rules.where(F.col("rule").isNotNull()).withColumn("__rh", F.substring_index("rule", "/", 1)).withColumn("__rp", F.expr("substring(rule, length(__rh) + 1)"))
     shapes = rules.agg(F.array_sort(F.collect_set(F.size(F.split("__rh", r"\.")))).alias("labels"), F.array_sort(F.collect_set(F.length("__rp"))).alias("lengths")).first()
