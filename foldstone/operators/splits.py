@@ -1,0 +1,256 @@
+"""Splits: an ordered table's clock -> folds.  Driver logic; a clock answers the few look-ups a fold needs."""
+
+from __future__ import annotations
+
+import calendar
+import datetime as dt
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass, field
+
+Range = tuple[int, int]
+OOF_BLOCKS = 5
+
+
+@dataclass(frozen=True)
+class Fold:
+    label: str
+    train: tuple[Range, ...]
+    test: Range
+
+
+@dataclass
+class Clock:
+    """Positions of an ordered table: distinct timestamps with their first rows, group starts, and the training head."""
+
+    n: int
+    ts: list[dt.datetime] = field(default_factory=list)  # distinct, sorted; empty: no clock
+    first: list[int] = field(default_factory=list)
+    groups: list[int] | None = None  # first rows of the groups' runs
+    head: int = 0
+
+    @classmethod
+    def of_stamps(cls, rows, n: int, **more) -> Clock:
+        """From collected rows of ``frame.stamps`` (ts, first_row), in the order of ts."""
+        return cls(n, [r["ts"] for r in rows], [r["first_row"] for r in rows], **more)
+
+    @classmethod
+    def of_values(cls, ts: list[dt.datetime], **more) -> Clock:
+        first = [i for i, t in enumerate(ts) if not i or ts[i - 1] != t]
+        if any(a > b for a, b in zip(ts, ts[1:])):
+            raise ValueError("the clock must be sorted")
+        return cls(len(ts), [ts[i] for i in first], first, **more)
+
+    def snap(self, row: int) -> int:
+        if not 0 < row < self.n:
+            return row
+        for starts in (self.groups, self.first):
+            if starts:
+                row = starts[bisect_right(starts, row) - 1]
+        return row
+
+    def index_of(self, when: dt.date) -> int:
+        if not isinstance(when, dt.datetime):
+            when = dt.datetime(when.year, when.month, when.day)
+        k = bisect_left(self.ts, when)
+        return self.first[k] if k < len(self.ts) else self.n
+
+    def back(self, row: int, stamps: int) -> int:
+        """``stamps`` distinct timestamps before ``row`` (rows without a clock)."""
+        if not stamps:
+            return row
+        if not self.ts:
+            return max(row - stamps, 0)
+        k = bisect_left(self.first, row) - stamps
+        return self.first[k] if k > 0 else 0
+
+    def forward(self, row: int, stamps: int) -> int:
+        if not stamps:
+            return row
+        if not self.ts:
+            return min(row + stamps, self.n)
+        k = bisect_left(self.first, row) + stamps
+        return self.first[k] if k < len(self.first) else self.n
+
+    def purge(self, cut: int, rows: int = 0, stamps: int = 0) -> int:
+        return self.back(self.snap(max(cut - rows, 0)), stamps)
+
+    def dates(self) -> list[dt.date]:
+        return sorted({t.date() for t in self.ts})
+
+    def known(self, at: int, lag: dt.timedelta | int | None) -> int:
+        """Number of leading rows whose label with this reveal lag is known at row ``at``."""
+        if not self.ts:
+            return at
+        k = bisect_right(self.first, at) - 1
+        now = self.ts[k]
+        if lag is None:
+            return self.first[k]
+        if isinstance(lag, int):
+            days = self.dates()
+            j = days.index(now.date()) - lag
+            return self.index_of(days[j] + dt.timedelta(days=1)) if j >= 0 else 0
+        j = bisect_right(self.ts, now - lag)
+        return self.first[j] if j < len(self.ts) else self.n
+
+
+def group_starts(values: list) -> list[int]:
+    """First rows of the runs of equal values; a value that comes back is refused."""
+    seen, out = set(), []
+    for i, v in enumerate(values):
+        if not i or v != values[i - 1]:
+            if v in seen:
+                raise ValueError(f"group {v!r} comes back at row {i}")
+            seen.add(v)
+            out.append(i)
+    return out
+
+
+def train_rows(rows: int, size: float | int) -> int:
+    if isinstance(size, bool):
+        raise TypeError("a size is a number")
+    return size if isinstance(size, int) else round(rows * size)
+
+
+def add_months(day: dt.date, months: int) -> dt.date:
+    year, month = divmod(day.year * 12 + day.month - 1 + months, 12)
+    return dt.date(year, month + 1, min(day.day, calendar.monthrange(year, month + 1)[1]))
+
+
+def check(folds: list[Fold], least: int) -> list[Fold]:
+    if len(folds) < least:
+        raise ValueError(f"{len(folds)} folds; at least {least} are asked for")
+    if len({f.label for f in folds}) < len(folds):
+        raise ValueError("two folds share a label")
+    for f in folds:
+        if f.test[0] >= f.test[1]:
+            raise ValueError(f"fold {f.label} tests no rows")
+        if not any(a < b for a, b in f.train):
+            raise ValueError(f"fold {f.label} has no train rows")
+    return folds
+
+
+@dataclass(frozen=True)
+class WalkForward:
+    first_cutoff_rows: int
+    step_rows: int
+    test_rows: int
+    embargo_rows: int = 0
+    horizon: int = 1
+    max_train_rows: int | None = None
+    min_folds: int = 3
+
+    def folds(self, clock: Clock) -> list[Fold]:
+        out, cutoff = [], self.first_cutoff_rows
+        reach = self.horizon * self.test_rows
+        while cutoff + reach <= clock.n:
+            end, last = clock.purge(cutoff, self.embargo_rows), cutoff + reach
+            start = max(end - self.max_train_rows, 0) if self.max_train_rows else 0
+            out.append(Fold(f"row {cutoff}", ((start, end),), (clock.snap(last - self.test_rows), clock.snap(last))))
+            cutoff += self.step_rows
+        return check(out, self.min_folds)
+
+
+@dataclass(frozen=True)
+class CalendarWalkForward:
+    first_cutoff: str
+    unit: str = "month"
+    step: int = 1
+    test_units: int = 1
+    horizon: int = 1
+    embargo_timestamps: int = 0
+    end: str | None = None
+    min_folds: int = 3
+    train_units: int | None = None
+
+    def folds(self, clock: Clock) -> list[Fold]:
+        first = dt.date.fromisoformat(self.first_cutoff)
+        stop = dt.date.fromisoformat(self.end) if self.end else clock.ts[-1].date() + dt.timedelta(days=1)
+        if self.unit == "month":
+            at, k = [], 0
+            while (day := add_months(first, k)) <= stop:
+                at.append(day)
+                k += 1
+        else:
+            at = [d for d in clock.dates() if first <= d < stop] + [stop]
+        reach, out = self.horizon * self.test_units, []
+        for c in range(0, max(0, len(at) - reach), self.step):
+            cut = clock.purge(clock.index_of(at[c]), 0, self.embargo_timestamps)
+            start = 0
+            if self.train_units:
+                if self.unit == "month":
+                    start = clock.index_of(add_months(at[c], -self.train_units))
+                else:
+                    days = clock.dates()
+                    start = clock.index_of(days[max(0, bisect_left(days, at[c]) - self.train_units)])
+            out.append(Fold(at[c].isoformat(), ((min(start, cut), cut),), (clock.index_of(at[c + reach - self.test_units]), clock.index_of(at[c + reach]))))
+        return check(out, self.min_folds)
+
+
+@dataclass(frozen=True)
+class BlockedKFold:
+    n_splits: int
+    embargo_rows: int = 0
+    train_size: float | int = 1.0
+
+    def folds(self, clock: Clock) -> list[Fold]:
+        n, head = clock.snap(train_rows(clock.n, self.train_size)), clock.head
+        bounds = [clock.snap(head + round(i * (n - head) / self.n_splits)) for i in range(self.n_splits + 1)]
+        out = []
+        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            sides = ((0, max(lo - self.embargo_rows, min(head, lo))), (min(hi + self.embargo_rows, n), n))
+            out.append(Fold(f"block {i}", tuple(s for s in sides if s[0] < s[1]), (lo, hi)))
+        return check(out, self.n_splits)
+
+
+@dataclass(frozen=True)
+class Holdout:
+    train_size: float | int = 0.7
+    embargo_rows: int = 0
+
+    def folds(self, clock: Clock) -> list[Fold]:
+        cut = clock.snap(train_rows(clock.n, self.train_size))
+        return check([Fold("holdout", ((0, cut),), (min(cut + self.embargo_rows, clock.n), clock.n))], 1)
+
+
+def _at(train: list[Range], offset: int) -> tuple[int, int]:
+    """Segment and row of an offset into the concatenated segments."""
+    for k, (lo, hi) in enumerate(train):
+        if offset < hi - lo:
+            return k, lo + offset
+        offset -= hi - lo
+    return len(train) - 1, train[-1][1]
+
+
+def inner_split(clock: Clock, train: list[Range], validation: float | int, *, embargo_rows: int = 0, embargo_timestamps: int = 0, lags: tuple = ()) -> tuple[list[Range], Range]:
+    """(inner train, validation): the tail of the last segment, and what is known before it."""
+    rows = sum(hi - lo for lo, hi in train)
+    size = train_rows(rows, validation)
+    lo, hi = train[-1]
+    cut = clock.snap(_at(train, rows - size)[1])
+    if not max(lo, clock.head) <= cut < hi or size > hi - max(lo, clock.head):
+        raise ValueError("the validation rows must lie in the last segment, behind the head")
+    end = clock.purge(cut, embargo_rows, embargo_timestamps)
+    for lag in lags:
+        end = min(end, clock.known(cut, lag))
+    inner = [(a, min(b, end)) for a, b in train if a < min(b, end)]
+    return inner, (cut, hi)
+
+
+def oof_folds(clock: Clock, train: list[Range], *, embargo_rows: int = 0, embargo_timestamps: int = 0, lags: tuple = (), blocks: int = OOF_BLOCKS) -> list[Fold]:
+    """Contiguous blocks over the judged train rows; a block that spans segments gives several folds."""
+    judged = [(max(lo, clock.head), hi) for lo, hi in train if max(lo, clock.head) < hi]
+    rows = sum(hi - lo for lo, hi in judged)
+    cuts = [judged[0][0]] + [clock.snap(_at(judged, round(i * rows / blocks))[1]) for i in range(1, blocks)] + [judged[-1][1]]
+    out = []
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        for a, b in judged:
+            test = (max(lo, a), min(hi, b))
+            if test[0] >= test[1]:
+                continue
+            before = clock.purge(test[0], embargo_rows, embargo_timestamps)
+            for lag in lags:
+                before = min(before, clock.known(test[0], lag))
+            after = clock.forward(min(test[1] + embargo_rows, clock.n), embargo_timestamps)
+            sides = [(s, min(e, before)) for s, e in train] + [(max(s, after), e) for s, e in train]
+            out.append(Fold(f"oof {i} {test[0]}", tuple(s for s in sides if s[0] < s[1]), test))
+    return out
