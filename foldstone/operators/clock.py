@@ -13,12 +13,18 @@ from foldstone.sources.frame import ROW
 
 
 class FrameClock(Clock):
-    """Answers as ``Clock`` does; each look-up is one pruned scan, and a fold needs only a few."""
+    """Answers as ``Clock`` does; each look-up is one pruned scan, and a fold needs only a few.
 
-    def __init__(self, frame: DataFrame, head: int = 0):
+    Positions and clock of at most ``most_kept`` rows are persisted, so look-ups don't number the rows anew.
+    """
+
+    def __init__(self, frame: DataFrame, head: int = 0, most_kept: int = 20_000_000):
         days = frame.groupBy(F.to_date("ts").alias("d")).agg(F.min(ROW).alias("r"), F.count("*").alias("n")).orderBy("d").collect()
         super().__init__(sum(r["n"] for r in days), head=head)
-        self.frame, self.days, self.starts = frame, [r["d"] for r in days], [r["r"] for r in days]
+        self.frame, self.days, self.starts = frame.select(ROW, "ts"), [r["d"] for r in days], [r["r"] for r in days]
+        if self.n <= most_kept:
+            self.frame = self.frame.persist()
+        self.snapped: dict[int, int] = {}
         self.ts = [dt.datetime.combine(self.days[-1], dt.time())] if days else []
 
     def dates(self) -> list[dt.date]:
@@ -38,7 +44,9 @@ class FrameClock(Clock):
     def snap(self, row: int) -> int:
         if not 0 < row < self.n:
             return row
-        return self.frame.where(F.col("ts") == F.lit(self._ts(row))).agg(F.min(ROW)).first()[0]
+        if row not in self.snapped:
+            self.snapped[row] = self.frame.where(F.col("ts") == F.lit(self._ts(row))).agg(F.min(ROW)).first()[0]
+        return self.snapped[row]
 
     def back(self, row: int, stamps: int) -> int:
         if not stamps or row <= 0:
