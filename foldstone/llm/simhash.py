@@ -9,9 +9,11 @@ Components within radius 2 need no pairs: two fingerprints are within 2 bits if
 around them meet, so each fingerprint that shares a bucket with another is linked to the least owner of each of its 65
 ball members.  A bucket of thousands costs 65 rows each, never thousands squared.
 
-``near_duplicates`` serves five-word shingles and a Jaccard similarity of 0.8: candidates come from covering tables
-over ``prints`` fingerprints of the set of two-word shingles (which an edit moves least): every pair that is within the
-radius by either of them is found, and farther ones by chance.  Every candidate pair of distinct texts is confirmed on its whole sets of five-word shingles.
+``near_duplicates`` serves five-word shingles and a Jaccard similarity of 0.8.  Candidates come first from covering
+tables over ``prints`` fingerprints of the set of two-word shingles (which an edit moves least).  The pairs they don't
+join come from an exact prefix join: with the shingles of every set in one order, two sets at the similarity share one of their first
+n - ceil(similarity * n) + 1, so no linked pair is missed.  The order is rare first, by frequencies in a sample of
+texts: it decides what the join costs and never what it finds.  Every candidate pair of distinct texts is confirmed on its whole sets of five-word shingles.
 
 Edge cases: null and wordless texts have fingerprint 0, linked like any other; texts shorter than a shingle count as
 one; a null id takes part and, if alone, has a null component; repeated rows are linked; empty tables give none.
@@ -19,8 +21,9 @@ one; a null id takes part and, if alone, has a null component; repeated rows are
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,6 +36,9 @@ from foldstone.llm.common import small_enough, stored
 from foldstone.llm.graph import components
 
 _CHUNK = 1 << 16
+_SAMPLE = 10_000  # texts whose shingles are counted for the order of the prefix join
+_MOST_COUNTED = 500_000
+_HOT = 4096  # members of a bucket from which it is dealt to several
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
@@ -133,15 +139,25 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
     """
     each = reps.select("id", F.posexplode("fps").alias("print", "fp"))
     keyed = each.select(_tables(each, radius, F.col("print")).alias("key"), "id", "fp")
+    return _bucket_pairs(keyed, lambda x, y: _popcount(x[2] ^ y[2]) <= most_bits, block)
+
+
+def _bucket_pairs(keyed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 512) -> DataFrame:
+    """(a, b) with a < b of ids in one bucket of ``keyed`` (key, id, more whole numbers) for which ``near`` holds.
+
+    ``near`` gets the columns of the one side and of the other, which broadcast against each other.
+    """
+    width = len(keyed.columns)
     sorted_ = keyed.repartition("key").sortWithinPartitions("key")
 
-    def within(i: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for p in range(0, len(i), block):
-            for q in range(p, len(i), block):
-                near = _popcount(f[p : p + block, None] ^ f[None, q : q + block]) <= most_bits
-                x, y = np.nonzero(np.triu(near, 1) if p == q else near)
+    def within(r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = r.shape[1]
+        for p in range(0, n, block):
+            for q in range(p, n, block):
+                ok = near(r[:, p : p + block, None], r[:, None, q : q + block])
+                x, y = np.nonzero(np.triu(ok, 1) if p == q else ok)
                 if len(x):
-                    a, b = i[p + x], i[q + y]
+                    a, b = r[1, p + x], r[1, q + y]
                     yield np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +172,8 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """All buckets of ``rows`` (key, id, fp), which are complete: short runs by lag, long ones by block."""
-            key, i, f = rows
+            """All buckets of ``rows``, which are complete: short runs by lag, long ones by block."""
+            key, i = rows[:2]
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             sizes = np.diff(cuts)
             lag, most = 1, int(min(sizes.max(initial=0), 64))
@@ -167,21 +183,20 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
             while len(at) and lag < most:
                 at = at[at + lag < last[at]]
                 x, y = at, at + lag
-                ok = _popcount(f[x] ^ f[y]) <= most_bits
+                ok = near(rows[:, x], rows[:, y])
                 if ok.any():
                     out_a.append(np.minimum(i[x[ok]], i[y[ok]]))
                     out_b.append(np.maximum(i[x[ok]], i[y[ok]]))
                     yield from flush(50_000)
                 lag += 1
             for k in np.flatnonzero(sizes > 64):
-                s = slice(cuts[k], cuts[k + 1])
-                for a, b in within(i[s], f[s]):
+                for a, b in within(rows[:, cuts[k] : cuts[k + 1]]):
                     out_a.append(a)
                     out_b.append(b)
                     yield from flush(50_000)
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(width)])
             # Only the last key may go on in the next batch.
             cut = int(np.searchsorted(rows[0], rows[0][-1], "left")) if rows.shape[1] else 0
             if cut:
@@ -196,6 +211,75 @@ def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int
     return sorted_.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
+def _same(text: bytes | None) -> bytes:
+    words = (text or b"").lower().split()
+    return xxhash.xxh128_digest(b" ".join(words)) if words else b""
+
+
+def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the shingles found in two or more sampled texts, their counts, and how many texts one sampled stands for."""
+    every = max(1, round(thin.count() / _SAMPLE))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), width)).view(np.int64))], ["h"])
+
+    counts = thin.where(F.pmod(F.xxhash64(F.lit("often"), "doc_id"), F.lit(every)) == 0).mapInArrow(sets, "h long").groupBy("h").count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "h").limit(_MOST_COUNTED).toPandas()
+    hashes, n = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order], every
+
+
+def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """(a, b) with a < b of ids in different components that may have the similarity: all pairs that have it, and others.
+
+    ``thin`` has (doc_id, text), ``classes`` (id, same, root).  A common shingle counts only where what follows it in both sets still
+    allows the similarity.  Buckets that look large in the sample are dealt by id into blocks, one bucket for each two.
+    """
+    sent = thin.sparkSession.sparkContext.broadcast(_frequencies(thin, width))
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, every = sent.value
+        for batch in batches:
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_py()
+                s = np.unique(shingle_hashes(text, width))
+                if i is None or not len(s):
+                    continue
+                often = np.zeros(len(s), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[place] == s, counts[place], 0)
+                first = np.argsort(often, kind="stable")[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                at = np.arange(len(first), dtype=np.int32)
+                keys = s[first]
+                blocks = -(-often[first] * every // _HOT)
+                if (blocks > 1).any():
+                    k = np.repeat(at, np.maximum(blocks, 1))
+                    each = np.concatenate([np.arange(max(b, 1)) for b in blocks.tolist()])
+                    own = xxhash.xxh64_intdigest(str(i)) % np.maximum(blocks, 1)[k].astype(np.uint64)
+                    low, high = np.minimum(own, each.astype(np.uint64)), np.maximum(own, each.astype(np.uint64))
+                    keys, at = _remixed(keys[k] + (low * np.uint64(0x9E3779B1) + high) * np.uint64(0xC2B2AE3D27D4EB4F), 1), k.astype(np.int32)
+                    keys = np.where(blocks[k] > 1, keys, s[first][k])
+                for column, value in zip(out, (i, _same(text), len(s), keys.view(np.int64), at)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["doc_id", "own", "n", "keys", "ats"])
+
+    rows = thin.mapInArrow(prefixed, "doc_id long, own binary, n int, keys array<bigint>, ats array<int>")
+    rows = rows.join(classes, (F.col("own") == F.col("same")) & (F.col("doc_id") == F.col("id")))
+    keyed = rows.select("id", "root", "n", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select(F.col("z.keys").alias("key"), "id", "root", "n", F.col("z.ats").alias("at"))
+    share = similarity / (1 + similarity)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x[2] != y[2]) & (np.minimum(x[3] - x[4], y[3] - y[4]) >= share * (x[3] + y[3]) - 1e-6)
+
+    return _bucket_pairs(keyed, near)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 5, most_bits: int = 16) -> DataFrame:
     """(doc_id, component_id): texts linked at Jaccard >= ``similarity`` of their ``width``-word shingle sets.
 
@@ -208,39 +292,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             rows = []
             for x in batch.column(1):
                 text = x.as_py()
-                words = (text or b"").lower().split()
-                same = xxhash.xxh128_digest(b" ".join(words)) if words else b""
                 hashes = np.unique(shingle_hashes(text, 2))
-                rows.append((same, [majority(_remixed(hashes, k)) for k in range(prints)]))
+                rows.append((_same(text), [majority(_remixed(hashes, k)) for k in range(prints)]))
             same, fps = zip(*rows) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
 
     all_ = stored(thin.mapInArrow(printed, "doc_id long, same binary, fps array<bigint>"), "prints")
     reps = stored(all_.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps")).where("id is not null"), "reps")
-    pairs = stored(candidate_pairs(reps, radius=radius, most_bits=most_bits), "pairs")
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["id", "s"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if small_enough(wanted, 4_000_000):
-        wanted = F.broadcast(wanted)
-    held = stored(thin.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s array<bigint>").groupBy("id").agg(F.first("s").alias("s")), "sets")
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        both = some.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-    # First each text against its least partner; then only pairs that those links don't join already, so that a family
-    # of thousands costs its members and not its pairs.
-    stars = stored(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a"))), "stars")
-    root = lambda of: stars.select(F.col("b").alias(f"of_{of}"), F.col("a").alias(f"root_{of}"))
-    rest = pairs.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
-    links = stars.union(confirmed(rest)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    linked = components(links)
+    def links(pairs: DataFrame) -> DataFrame:
+        """(u, v): links of at least the similarity that give all components of the pairs."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if small_enough(wanted, 4_000_000):
+            wanted = F.broadcast(wanted)
+        held = stored(thin.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s array<bigint>").groupBy("id").agg(F.first("s").alias("s")), "sets")
+
+        def confirmed(some: DataFrame) -> DataFrame:
+            both = some.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+            shared = F.size(F.array_intersect("sa", "sb"))
+            return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+        # First each text against its least partner; then only pairs that those links don't join already, so that a family
+        # of thousands costs its members and not its pairs.
+        stars = stored(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a"))), "stars")
+        root = lambda of: stars.select(F.col("b").alias(f"of_{of}"), F.col("a").alias(f"root_{of}"))
+        rest = pairs.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
+        rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+        return stored(stars.union(confirmed(rest)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    close = links(stored(candidate_pairs(reps, radius=radius, most_bits=most_bits), "pairs"))
+    roots = components(close)
+    classes = reps.join(roots, F.col("id") == F.col("node"), "left").select("id", "same", F.coalesce("root", "id").alias("root"))
+    far = links(stored(prefix_pairs(thin, classes, width=width, similarity=similarity), "pairs"))
+    linked = components(close.union(far))
     own = reps.join(linked, F.col("id") == F.col("node"), "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return all_.join(own, "same", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -336,6 +336,35 @@ def test_near_duplicates(spark):
     assert len([r for r in kept if r["doc_id"] == 9003]) == 1 and len({r["doc_id"] for r in kept}) == len(kept)
 
 
+def test_near_duplicates_of_all_kinds_of_edits(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pairs = []
+    for _ in range(40):
+        b = [word() for _ in range(rng.randrange(100, 600))]
+        short = [word() for _ in range(rng.randrange(10, 31))]
+        pairs += [(b, b + [word() for _ in range(int(len(b) * rng.uniform(0.12, 0.25)))]), (b, b[: int(len(b) * rng.uniform(0.8, 0.9))]), (short, short + [word() for _ in range(rng.randrange(1, 5))])]
+    family = [word() for _ in range(300)]
+    rows = [(2 * k + c, " ".join(t)) for k, pair in enumerate(pairs) for c, t in enumerate(pair)] + [(1000 + k, " ".join(family + [word() for _ in range(30)])) for k in range(80)]
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    find = union_find(links)
+    in_link = {x for e in links for x in e}
+    want = {i: find(i) if i in in_link else i for i in sets}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert len(links) > 3000 and found == want
+
+
+def test_prefix_join_deals_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_HOT", 8)
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{same} x{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    classes = spark.createDataFrame([(i, simhash._same(t.encode()), i) for i, t in rows], "id long, same binary, root long")
+    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(docs, classes, width=5, similarity=0.8).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+
+
 # ---- pipeline
 
 def test_pipeline(spark, documents):
