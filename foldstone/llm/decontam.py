@@ -2,10 +2,12 @@
 
 Tokens are words and numbers.  Numbers become ``<num>``, a unit after a number ``<unit>``, a capitalised word within a
 sentence ``<name>``; other words are lower-cased.  Each text is read twice where it has names: with and without their
-placeholder, so a change of case hides nothing.  Every window of ``width`` template tokens with enough literal ones is
+placeholder, so a change of case hides nothing; and a third time where sentences begin with a capitalised word, which
+then are names too.  Every window of ``width`` template tokens with enough literal ones is
 hashed; windows of documents and benchmark items are hash-joined.  A document leaks an item if it holds at least
 ``coverage`` of the item's windows, and the values in the slots are consistent: along one alignment, an item's value
 must always stand for the same document value, so re-parameterised questions are caught and chance templates are not.
+Both are judged by the first two readings alone and by all three: one of the two is enough.
 
 If the benchmark has at most ``most_broadcast`` windows, its hashes go to the tasks, which put out only windows that
 have a partner; beyond that every document window is put out and shuffled: the same result.  Both ways read whole
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.llm.common import small_enough, stored
@@ -33,7 +35,7 @@ UNITS = frozenset("% $ € £ km m cm mm kg g mg lb lbs oz l ml mi mile miles in
 _NUM, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x, 7)) for x in ("<num>", "<unit>", "<name>"))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 LEAST_LITERALS = 3
-HIT = "hash long, id long, pos int, slots array<struct<at:int,kind:string,value:string>>"
+HIT = "hash long, id long, pos int, way int, slots array<struct<at:int,kind:string,value:string>>"
 
 _WORD, _CAP, _STOP, _NUMBER, _AS_UNIT = 0, 1, 2, 3, 4
 
@@ -60,8 +62,8 @@ class _Codes(dict):
         return value
 
 
-def templates(text: str, codes: _Codes) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """Tokens, and one or two readings of them: template hashes and whether each is a literal."""
+def templates(text: str, codes: _Codes) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """Tokens, and one to three readings of them: its number, template hashes, whether each is a literal, and the tokens it reads anew."""
     tokens = _TOKEN.findall(text)
     if not tokens:
         return [], []
@@ -75,9 +77,13 @@ def templates(text: str, codes: _Codes) -> tuple[list[str], list[tuple[np.ndarra
     unit = (kind == _AS_UNIT) & np.concatenate(([False], number[:-1])) if len(kind) else number
     name = (kind == _CAP) & ~first
     plain = np.where(number, _NUM, np.where(unit, _UNIT, code))
-    readings = [(plain, ~(number | unit))]
+    readings: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]] = [(0, plain, ~(number | unit), None)]
     if name.any():
-        readings.append((np.where(name, _NAME, plain), ~(number | unit | name)))
+        readings.append((1, np.where(name, _NAME, plain), ~(number | unit | name), name))
+    begins = (kind == _CAP) & first
+    if begins.any():
+        name = name | begins
+        readings.append((2, np.where(name, _NAME, plain), ~(number | unit | name), begins))
     return tokens, readings
 
 
@@ -100,12 +106,15 @@ def _slots(tokens: list[str], template: np.ndarray, literal: np.ndarray, at: int
 
 def _rows(ids: list[int], texts: list[str], widths: list[int], known: frozenset[str] | None, wanted: np.ndarray | None, own_width: int | None = None) -> pa.RecordBatch:
     codes = _Codes(known)
-    out: tuple[list, list, list, list] = ([], [], [], [])
+    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     for i, text in zip(ids, texts):
         tokens, readings = templates(text, codes) if text else ([], [])
-        for template, literal in readings:
+        for way, template, literal, anew in readings:
             for width in widths if own_width is None else [min(own_width, len(template))]:
                 hashes, fine = windows(template, literal, width)
+                if anew is not None and len(fine) and (way > 1 or own_width is not None):  # other windows are those of an earlier reading
+                    sums = np.concatenate(([0], np.cumsum(anew)))
+                    fine &= sums[width:] > sums[:-width]
                 at = np.flatnonzero(fine)
                 if wanted is not None and len(at):
                     place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
@@ -114,9 +123,10 @@ def _rows(ids: list[int], texts: list[str], widths: list[int], known: frozenset[
                     out[0].append(int(hashes[k].astype(np.int64)))
                     out[1].append(i)
                     out[2].append(k)
-                    out[3].append(_slots(tokens, template, literal, k, width))
+                    out[3].append(way)
+                    out[4].append(_slots(tokens, template, literal, k, width))
     kinds = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], kinds)], ["hash", "id", "pos", "slots"])
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], kinds)], ["hash", "id", "pos", "way", "slots"])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +144,18 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Data
             yield _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), [], None, None, own_width=width)
 
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(run, HIT).dropDuplicates(["id", "pos", "hash"])
+    return rows.mapInArrow(run, HIT).dropDuplicates(["id", "pos", "way", "hash"])
+
+
+def _judged(column: str) -> Column:
+    """The judgements a row of reading ``column`` takes part in: 0 by the first two readings, 1 by all."""
+    return F.explode(F.when(F.col(column) < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("by")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.5, consistency: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, coverage, consistency): one row for each item a document leaks."""
     items = stored(_items(benchmark, item_col, item_text, width), "items")
-    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("item_windows"))
+    sizes = items.select(F.col("id").alias("item_id"), "pos", _judged("way")).groupBy("item_id", "by").agg(F.countDistinct("pos").alias("item_windows"))
     facts = benchmark.select(F.col(item_text)).mapInArrow(_facts, "token string, n int").distinct()
     lengths = facts.where("token is null").select(F.least(F.lit(width), "n")).distinct()
     widths = sorted({width} | {r[0] for r in lengths.collect()} - {0, 1, 2})  # at most ``width`` of them
@@ -162,18 +177,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                 yield _rows(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist(), widths, known, wanted)
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, HIT)
-    theirs = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    theirs = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("way").alias("item_way"), F.col("slots").alias("item_slots"))
     if wanted is not None:
         theirs = F.broadcast(theirs)
-    hits = stored(found.join(theirs, "hash").select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", "slots", "item_slots"), "hits")
-    matched = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("matched"))
-    enough = matched.join(sizes.withColumnRenamed("id", "item_id"), "item_id").withColumn("coverage", F.col("matched") / F.col("item_windows")).where(F.col("coverage") >= coverage)
-    pairs = hits.where(F.size("slots") > 0).select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("line"), F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
-    votes = pairs.groupBy("doc_id", "item_id", "line", F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).count()
-    modal = votes.groupBy("doc_id", "item_id", "line", "theirs").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
-    lines = modal.groupBy("doc_id", "item_id", "line").agg((F.sum("top") / F.sum("all")).alias("share"), F.sum("all").alias("weight"))
-    agreed = lines.groupBy("doc_id", "item_id").agg(F.max_by("share", F.struct("weight", "share")).alias("share"))
-    return enough.join(agreed, ["doc_id", "item_id"], "left").withColumn("consistency", F.coalesce("share", F.lit(1.0))).where(F.col("consistency") >= consistency).select("doc_id", "item_id", "matched", F.col("item_windows").cast("long"), "coverage", "consistency")
+    hits = stored(found.join(theirs, "hash").select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", F.greatest("way", "item_way").alias("way"), "slots", "item_slots"), "hits")
+    hits = hits.select("*", _judged("way"))
+    pair = ["doc_id", "item_id", "by"]
+    matched = hits.groupBy(pair).agg(F.countDistinct("item_pos").alias("matched"))
+    enough = matched.join(sizes, ["item_id", "by"]).withColumn("coverage", F.col("matched") / F.col("item_windows")).where(F.col("coverage") >= coverage)
+    pairs = hits.where(F.size("slots") > 0).select(*pair, (F.col("pos") - F.col("item_pos")).alias("line"), F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
+    votes = pairs.groupBy(*pair, "line", F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).count()
+    modal = votes.groupBy(*pair, "line", "theirs").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
+    lines = modal.groupBy(*pair, "line").agg((F.sum("top") / F.sum("all")).alias("share"), F.sum("all").alias("weight"))
+    agreed = lines.groupBy(pair).agg(F.max_by("share", F.struct("weight", "share")).alias("share"))
+    judged = enough.join(agreed, pair, "left").withColumn("consistency", F.coalesce("share", F.lit(1.0))).where(F.col("consistency") >= consistency)
+    judged = judged.select("doc_id", "item_id", F.struct("coverage", "consistency", "matched", F.col("item_windows").cast("long").alias("item_windows")).alias("j"))
+    return judged.groupBy("doc_id", "item_id").agg(F.max("j").alias("j")).select("doc_id", "item_id", "j.matched", "j.item_windows", "j.coverage", "j.consistency")
 
 
 def decontaminate(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", most_broadcast: int = 4_000_000) -> DataFrame:

@@ -127,6 +127,14 @@ def test_decontamination(spark):
     assert decontam.leaks(d.where("doc_id < 0"), b).count() == decontam.leaks(d, b.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_names_at_the_start(spark):
+    b = spark.createDataFrame([(1, "Tom has 12 apples. Anna has 5 pears. Ben has 7 plums. How many fruits do they have?")], "item_id long, text string")
+    rows = ["Sara has 31 apples. Mike has 4 pears. Lisa has 19 plums. How many fruits do they have?", "Sara has 31 apples. Mike has 4 pears. We met at noon and went home."]
+    d = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
+    for most in (2_000_000, 0):
+        assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b, most_broadcast=most).collect()] == [(0, 1)]
+
+
 def test_decontamination_against_brute_force(spark, documents):
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
