@@ -7,12 +7,15 @@ then are names too.  Every window of ``width`` template tokens with enough liter
 hashed; windows of documents and benchmark items are hash-joined.  A document leaks an item if it holds at least
 ``coverage`` of the item's windows, and the values in the slots are consistent: along one alignment, an item's value
 must always stand for the same document value, so re-parameterised questions are caught and chance templates are not.
-Both are judged by the first two readings alone and by all three: one of the two is enough.
+Where ``width`` tokens hold too few literal ones, the window goes on to the third literal token.  Items of fewer than
+3 literal tokens are read exactly instead: words and numbers as they are.
+Coverage and consistency are judged by the first two readings alone, by all three, and with the longer and exact
+windows too: one of the judgements is enough.
 
 If the benchmark has at most ``most_broadcast`` windows, its hashes go to the tasks, which put out only windows that
 have a partner; beyond that every document window is put out and shuffled: the same result.  Both ways read whole
 texts.  Edge cases: null and empty texts hold no window; items shorter than a window are one window of their own
-length; items of fewer than 3 literal tokens take no part; repeated rows of an item count once, of a document each
+length; items of fewer than 3 tokens take no part (``without_windows`` lists them); signs of arithmetic are no tokens; repeated rows of an item count once, of a document each
 time by id; null ids take no part; empty tables give no leaks.
 """
 
@@ -35,9 +38,10 @@ UNITS = frozenset("% $ € £ km m cm mm kg g mg lb lbs oz l ml mi mile miles in
 _NUM, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x, 7)) for x in ("<num>", "<unit>", "<name>"))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 LEAST_LITERALS = 3
-HIT = "hash long, id long, pos int, way int, slots array<struct<at:int,kind:string,value:string>>"
+HIT = "hash long, id long, pos int, way int, length int, slots array<struct<at:int,kind:string,value:string>>"
 
 _WORD, _CAP, _STOP, _NUMBER, _AS_UNIT = 0, 1, 2, 3, 4
+_LONGER, _EXACT = 3, 4  # ways besides the three readings
 
 
 class _Codes(dict):
@@ -62,8 +66,8 @@ class _Codes(dict):
         return value
 
 
-def templates(text: str, codes: _Codes) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
-    """Tokens, and one to three readings of them: its number, template hashes, whether each is a literal, and the tokens it reads anew."""
+def templates(text: str, codes: _Codes, exact: bool = False) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """Tokens, and one to three readings of them (and an exact one, if the text has numbers): its number, template hashes, whether each is a literal, and the tokens it reads anew."""
     tokens = _TOKEN.findall(text)
     if not tokens:
         return [], []
@@ -84,6 +88,10 @@ def templates(text: str, codes: _Codes) -> tuple[list[str], list[tuple[int, np.n
     if begins.any():
         name = name | begins
         readings.append((2, np.where(name, _NAME, plain), ~(number | unit | name), begins))
+    if exact and number.any():
+        values = code.copy()
+        values[number] = [xxhash.xxh64_intdigest(tokens[k], 9) >> 4 or 1 for k in np.flatnonzero(number).tolist()]
+        readings.append((_EXACT, values, np.ones(len(values), bool), number))
     return tokens, readings
 
 
@@ -100,33 +108,68 @@ def windows(template: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.n
     return total, (sums[width:] - sums[:-width] >= LEAST_LITERALS) & (unknown[width:] == unknown[:-width])
 
 
+def longer_windows(template: np.ndarray, literal: np.ndarray, width: int, lengths: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, hashes) of the windows that go on to their last needed literal, since ``width`` tokens have too few."""
+    n = len(template) - width + 1
+    if n <= 0 or (lengths is not None and not len(lengths)):
+        return
+    sums = np.concatenate(([0], np.cumsum(literal)))
+    at = np.flatnonzero(sums[width:] - sums[:-width] < LEAST_LITERALS)
+    end = np.searchsorted(sums, sums[at] + LEAST_LITERALS)
+    at, size = at[end < len(sums)], (end - at)[end < len(sums)]
+    unknown = np.concatenate(([0], np.cumsum(template == 0)))
+    fine = unknown[at + size] == unknown[at]
+    if lengths is not None:
+        fine &= np.isin(size, lengths)
+    at, size = at[fine], size[fine]
+    for length in np.unique(size).tolist():
+        own = at[size == length]
+        total = np.full(len(own), np.uint64(length))
+        for k in range(length):
+            total = (total ^ (total >> np.uint64(29))) * _PRIME + template[own + k]
+        yield length, own, total
+
+
 def _slots(tokens: list[str], template: np.ndarray, literal: np.ndarray, at: int, width: int) -> list[dict]:
     return [{"at": k - at, "kind": str(int(template[k]) & 0xFF), "value": tokens[k].lower()} for k in range(at, at + width) if not literal[k]]
 
 
-def _rows(ids: list[int], texts: list[str], widths: list[int], known: frozenset[str] | None, wanted: np.ndarray | None, own_width: int | None = None) -> pa.RecordBatch:
+def _rows(ids: list[int], texts: list[str], widths: list[int], known: frozenset[str] | None, wanted: np.ndarray | None, lengths: np.ndarray | None = None, exact: bool = True, own_width: int | None = None) -> pa.RecordBatch:
+    """The windows of texts; of documents, or of items if they have their ``own_width``."""
     codes = _Codes(known)
-    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    out: tuple[list, list, list, list, list, list] = ([], [], [], [], [], [])
     for i, text in zip(ids, texts):
-        tokens, readings = templates(text, codes) if text else ([], [])
+        tokens, readings = templates(text, codes, exact) if text else ([], [])
+        if own_width is not None and readings and readings[0][2].sum() >= LEAST_LITERALS:
+            readings = [r for r in readings if r[0] != _EXACT]
         for way, template, literal, anew in readings:
+            sums = None if anew is None else np.concatenate(([0], np.cumsum(anew)))
+            found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             for width in widths if own_width is None else [min(own_width, len(template))]:
                 hashes, fine = windows(template, literal, width)
-                if anew is not None and len(fine) and (way > 1 or own_width is not None):  # other windows are those of an earlier reading
-                    sums = np.concatenate(([0], np.cumsum(anew)))
+                if sums is not None and len(fine) and (way > 1 or own_width is not None):  # other windows are those of an earlier reading
                     fine &= sums[width:] > sums[:-width]
                 at = np.flatnonzero(fine)
+                found.append((way, width, at, hashes[at]))
+            if way != _EXACT:
+                for length, at, hashes in longer_windows(template, literal, own_width or widths[-1], lengths):
+                    new = slice(None) if sums is None else sums[at + length] > sums[at]
+                    found.append((_LONGER, length, at[new], hashes[new]))
+            for as_way, length, at, hashes in found:
                 if wanted is not None and len(at):
-                    place = np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)
-                    at = at[wanted[place] == hashes[at]]
-                for k in at.tolist():
-                    out[0].append(int(hashes[k].astype(np.int64)))
+                    place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+                    hit = wanted[place] == hashes
+                    at, hashes = at[hit], hashes[hit]
+                for k, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
+                    out[0].append(h)
                     out[1].append(i)
                     out[2].append(k)
-                    out[3].append(way)
-                    out[4].append(_slots(tokens, template, literal, k, width))
-    kinds = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], kinds)], ["hash", "id", "pos", "way", "slots"])
+                    out[3].append(as_way)
+                    out[4].append(length)
+                    out[5].append(_slots(tokens, template, literal, k, length))
+    slots = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), slots)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["hash", "id", "pos", "way", "length", "slots"])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +191,14 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Data
 
 
 def _judged(column: str) -> Column:
-    """The judgements a row of reading ``column`` takes part in: 0 by the first two readings, 1 by all."""
-    return F.explode(F.when(F.col(column) < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("by")
+    """The judgements a row of way ``column`` takes part in: 0 by the first two readings, 1 by all, 2 with longer and exact windows."""
+    return F.explode(F.sequence(F.when(F.col(column) < 2, 0).when(F.col(column) == 2, 1).otherwise(2), F.lit(2))).alias("by")
+
+
+def without_windows(benchmark: DataFrame, *, item_col: str = "item_id", item_text: str = "text", width: int = 5) -> DataFrame:
+    """(item_id) of the items that no document can leak, since they hold fewer than 3 tokens or no text."""
+    held = _items(benchmark, item_col, item_text, width).select(F.col("id").alias("item_id")).distinct()
+    return benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id")).distinct().join(held, "item_id", "left_anti")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.5, consistency: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
@@ -159,6 +208,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     facts = benchmark.select(F.col(item_text)).mapInArrow(_facts, "token string, n int").distinct()
     lengths = facts.where("token is null").select(F.least(F.lit(width), "n")).distinct()
     widths = sorted({width} | {r[0] for r in lengths.collect()} - {0, 1, 2})  # at most ``width`` of them
+    more = [tuple(r) for r in items.where(F.col("way") >= _LONGER).select("way", F.when(F.col("way") == _LONGER, F.col("length"))).distinct().collect()]
+    longer, exact = np.array([n for way, n in more if way == _LONGER], np.int64), any(way == _EXACT for way, _ in more)
     known, wanted = None, None
     if small_enough(items, most_broadcast):
         hashes = items.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)
@@ -174,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         known, wanted = sent.value
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                yield _rows(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist(), widths, known, wanted)
+                yield _rows(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist(), widths, known, wanted, longer, exact)
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, HIT)
     theirs = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("way").alias("item_way"), F.col("slots").alias("item_slots"))

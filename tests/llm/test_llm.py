@@ -135,6 +135,16 @@ def test_decontamination_names_at_the_start(spark):
         assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b, most_broadcast=most).collect()] == [(0, 1)]
 
 
+def test_decontamination_dense_in_numbers(spark):
+    bench = ["What is 17 + 25?", "Solve 3x + 5 = 20", "Compute 12 * 7 - 30 / 5", "Ann runs 5 km. Bob runs 7 km. Carl runs 9 km. Who runs most?", "Why?", None]
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    rows = [*(f"Some text before it. {x} And some text after it." for x in bench[:4]), "Dora runs 15 km. Emil runs 27 km. Fred runs 19 km. Who runs most?", "What is 17 + 26? Solve 3x + 6 = 20", "Dora runs 15 km, and 27 km. Why?"]
+    d = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
+    for most in (2_000_000, 0):
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b, most_broadcast=most).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)]
+    assert sorted(r["item_id"] for r in decontam.without_windows(b).collect()) == [4, 5]
+
+
 def test_decontamination_against_brute_force(spark, documents):
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
