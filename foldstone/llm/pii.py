@@ -7,7 +7,9 @@ to equal pseudonyms in every document, different ones to different ones.
 Kinds: payment cards (13 to 19 digits, Luhn; the first digit stays and the check digit is made anew), IBANs (mod 97
 likewise; country stays), phone numbers (country code stays), US social security numbers, IPv4 addresses (each address
 is permuted as 32 bits), e-mail addresses (local part; domain stays) and dates (ISO, dd.mm.yyyy, mm/dd/yyyy: the day
-number is permuted over 73,216 days from 1900-01-01).  Values that fail their check stay as they are.
+number is permuted over 73,216 days from 1900-01-01).  A span that fails its check is searched for the values within it:
+from each start the longest span of any kind that passes is taken, and the search resumes after it (IBANs of a known country must then have its
+length).  What passes at no end stays as it is.
 
 Texts without a digit or ``@`` are never searched further.  Edge cases: null text stays null with no findings;
 overlapping values: the leftmost, longest kind first; repeated rows give the same pseudonyms; empty tables give none.
@@ -29,6 +31,7 @@ SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, IBAN, CARD, IPV4, ISO, DMY, MDY, SSN, PHONE))
 _KINDS = (("email", EMAIL), ("iban", IBAN), ("card", CARD), ("ipv4", IPV4), ("iso", ISO), ("dmy", DMY), ("mdy", MDY), ("ssn", SSN), ("phone", PHONE))
+_IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC"}
 ROUNDS = 8
 _DAYS_HIGH, _DAYS_LOW = 256, 286  # 73,216 days
 
@@ -132,16 +135,20 @@ def _date(v: Column, fmt: str, key: str) -> Column:
     return F.when(inside, F.date_format(F.date_add(first, permute_number(number, _DAYS_HIGH, _DAYS_LOW, key, "date").cast("int")), fmt))
 
 
-def pseudonym(v: Column, kind: Column, key: str) -> Column:
-    """The value's pseudonym; null if it fails its check."""
+def _pseudonyms(v: Column, key: str) -> dict[str, Column]:
+    """The value's pseudonym as each kind; null if it fails its check."""
     at = F.instr(v, "@")
-    of = {
+    return {
         "email": F.concat(permute(v.substr(F.lit(1), at - 1), key, "email"), v.substr(at, F.length(v))),
         "iban": _iban(v, key), "card": _card(v, key), "ipv4": _ipv4(v, key), "iso": _date(v, "yyyy-MM-dd", key), "dmy": _date(v, "dd.MM.yyyy", key), "mdy": _date(v, "MM/dd/yyyy", key),
         "ssn": F.when(~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), _lay(v, permute(_digits(v), key, "ssn"), "[0-9]")), "phone": _phone(v, key),
     }
+
+
+def pseudonym(v: Column, kind: Column, key: str) -> Column:
+    """The value's pseudonym; null if it fails its check."""
     out = F.lit(None).cast("string")
-    for name, value in reversed(of.items()):
+    for name, value in reversed(_pseudonyms(v, key).items()):
         out = F.when(kind == name, value).otherwise(out)
     return out
 
@@ -153,6 +160,43 @@ def kind_of(v: Column) -> Column:
     return out
 
 
+def _within(v: Column, key: str) -> Column:
+    """struct(out, found) of a span that fails its check: its text with the pseudonyms of the values in it, and these."""
+    w = F.concat(F.lit("\n"), v, F.lit("\n\n"))  # the character before and two after, for the patterns' bounds
+    n = F.length(v)
+
+    def of_country(bare: Column) -> Column:
+        country = F.substring(bare, 1, 2)
+        want = F.coalesce(*[F.when(country.isin(names.split()), F.lit(k)) for k, names in _IBAN_LENGTHS.items()])
+        return F.coalesce(want == F.length(bare), F.lit(True))
+
+    def passed(i: Column, length: Column) -> Column:
+        value, around = v.substr(i, length), w.substr(i, length + 3)
+        kinds, of = [], _pseudonyms(value, key)
+        for name, pattern in _KINDS:
+            fits = around.rlike(f"(?s)^.(?:{pattern}).{{2}}$")
+            if name == "iban":
+                fits &= of_country(F.replace(value, F.lit(" "), F.lit("")))
+            kinds.append(F.struct(i.alias("at"), length.alias("length"), F.lit(name).alias("kind"), F.when(fits, of[name]).alias("pseudonym")))
+        return F.get(F.filter(F.array(*kinds), lambda x: x["pseudonym"].isNotNull()), F.lit(0))
+
+    def longest(i: Column) -> Column:
+        ends = F.filter(F.sequence(n - i + 1, F.lit(1), F.lit(-1)), lambda k: w.substr(i + k, F.lit(2)).rlike("^[0-9A-Za-z][^0-9A-Za-z]"))
+        return F.get(F.filter(F.transform(ends, lambda k: passed(i, k)), lambda x: x.isNotNull()), F.lit(0))
+
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: w.substr(i, F.lit(2)).rlike("^[^0-9A-Za-z][0-9A-Za-z+(]"))
+    spans = F.filter(F.transform(starts, longest), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
+    begin = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"), none.alias("found"))
+
+    def take(s: Column, x: Column) -> Column:
+        found = F.concat(s["found"], F.array(F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym"))))
+        taken = F.struct((x["at"] + x["length"]).alias("next"), F.concat(s["out"], v.substr(s["next"], x["at"] - s["next"]), x["pseudonym"]).alias("out"), found.alias("found"))
+        return F.when(x["at"] < s["next"], s).otherwise(taken)
+
+    return F.aggregate(spans, begin, take, lambda s: F.struct(F.concat(s["out"], v.substr(s["next"], n)).alias("out"), s["found"].alias("found")))
+
+
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "foldstone") -> DataFrame:
     """``docs`` with pseudonyms in the text, and ``findings``: array of struct(kind, pseudonym).
 
@@ -166,7 +210,9 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "foldsto
     changed = F.transform("__v", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     found = found.withColumn("__k", F.when(some, changed))
     found = found.withColumn("__p", F.transform("__k", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"), x["value"].alias("value"))))
+    whole = lambda p: F.struct(p["pseudonym"].alias("out"), F.array(F.struct(p["kind"].alias("kind"), p["pseudonym"].alias("pseudonym"))).alias("found"))
+    found = found.withColumn("__q", F.transform("__p", lambda p: F.when(p["pseudonym"].isNotNull(), whole(p)).otherwise(_within(p["value"], key))))
     between = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(between, "__p", lambda b, p: F.concat(b, F.coalesce(p["pseudonym"], p["value"], F.lit("")))), "")
-    findings = F.transform(F.filter("__p", lambda p: p["pseudonym"].isNotNull()), lambda p: F.struct(p["kind"].alias("kind"), p["pseudonym"].alias("pseudonym")))
-    return found.withColumn("findings", F.coalesce(findings, F.array().cast("array<struct<kind:string,pseudonym:string>>"))).withColumn(text_col, F.when(F.size("findings") > 0, joined).otherwise(text)).drop("__v", "__k", "__p")
+    joined = F.array_join(F.zip_with(between, "__q", lambda b, q: F.concat(b, F.coalesce(q["out"], F.lit("")))), "")
+    findings = F.flatten(F.transform("__q", lambda q: q["found"]))
+    return found.withColumn("findings", F.coalesce(findings, F.array().cast("array<struct<kind:string,pseudonym:string>>"))).withColumn(text_col, F.when(F.size("findings") > 0, joined).otherwise(text)).drop("__v", "__k", "__p", "__q")

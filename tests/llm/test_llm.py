@@ -105,6 +105,16 @@ def test_pii(spark):
     assert pii.pseudonymise(df.where("doc_id < 0")).count() == 0
 
 
+def test_pii_beside_other_numbers(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    text = [f"{card} 12/27", f"{card} 123", "4111-1111-1111-1111 04/29", f"{iban} VISA", f"12 {card}", "1984-02-29 1999-11", "4111 1111 1111 1112 12/27", card, iban]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(text)])).collect()}
+    out = [got[i]["text"] for i in range(len(text))]
+    assert out[:2] == [f"{out[7]} 12/27", f"{out[7]} 123"] and out[2] == out[7].replace(" ", "-") + " 04/29" and out[3] == f"{out[8]} VISA" and out[4] == f"12 {out[7]}"
+    assert out[5] != text[5] and out[5].endswith(" 1999-11") and out[6] == text[6] and out[7] != card and out[8] != iban
+    assert [[f["kind"] for f in got[i]["findings"]] for i in range(7)] == [["card"]] * 3 + [["iban"], ["card"], ["iso"], []]
+
+
 def test_permutations_are_bijective(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"), "id")
     out = n.select(pii.permute(F.col("s"), "k", "t").alias("p"), pii.permute_number(F.col("id"), 25, 40, "k", "t").alias("n")).agg(F.countDistinct("p"), F.countDistinct("n"), F.min("n"), F.max("n")).first()
