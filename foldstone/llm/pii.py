@@ -5,22 +5,29 @@ its class, by a stream derived from the key, the round and the other half; every
 to equal pseudonyms in every document, different ones to different ones.
 
 Kinds: payment cards (13 to 19 digits, Luhn; the first digit stays and the check digit is made anew), IBANs (mod 97
-likewise; country stays), phone numbers (country code stays), US social security numbers, IPv4 addresses (each address
-is permuted as 32 bits), e-mail addresses (local part; domain stays) and dates (ISO, dd.mm.yyyy, mm/dd/yyyy: the day
+likewise; country stays), phone numbers (the country code stays and is read from the digits, so a number is linked
+however it is spaced; ten-digit numbers of country code 1 keep whether area and exchange begin with 2 to 9, and are
+linked with or without the code), US social security numbers (a permutation of the valid ones), IPv4 addresses (each
+address is permuted as 32 bits), e-mail addresses (local part; domain of at most 127 labels stays) and dates (ISO, dd.mm.yyyy, mm/dd/yyyy: the day
 number is permuted over 73,216 days from 1900-01-01).  A span that fails its check is searched for the values within it:
 from each start the longest span of any kind that passes is taken, and the search resumes after it (IBANs of a known country must then have its
 length).  What passes at no end stays as it is.
 
+The key is the caller's; what the plan holds is a digest of it, which is as secret as the key.  A pseudonym depends on
+key, kind and value alone.
+
 Texts without a digit or ``@`` are never searched further.  Edge cases: null text stays null with no findings;
 overlapping values: the leftmost, longest kind first; repeated rows give the same pseudonyms; empty tables give none.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,126}[A-Za-z]{2,24}"  # bounded: Java repeats a group by recursion
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = r"(?<![0-9A-Za-z.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
@@ -37,14 +44,15 @@ _DAYS_HIGH, _DAYS_LOW = 256, 286  # 73,216 days
 
 
 def _stream(key: str, kind: str, round_: Column, other: Column, own_length: Column) -> Column:
-    """Hex digest that drives one round."""
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), own_length.cast("string"), other), 256)
+    """Hex digits that drive one round: 4 for each character."""
+    blocks = F.sequence(F.lit(0), F.floor((own_length - 1) / 16).cast("int"))
+    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), own_length.cast("string"), b.cast("string"), other), 256)), "")
 
 
-def _shift(half: Column, digest: Column) -> Column:
-    """Each character shifted within its class by a digit of the digest."""
+def _shift(half: Column, stream: Column) -> Column:
+    """Each character shifted within its class by four digits of the stream."""
     def one(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(digest, 1, 64).substr((i % 15) * 4 + 1, F.lit(4)), 16, 10).cast("int") + i
+        by = F.conv(stream.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("int")
         base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
         radix = F.when(c.between("0", "9"), 10).otherwise(26)
         return F.when(base.isNull(), c).otherwise(F.call_function("char", (base + (F.ascii(c) - base + by) % radix).cast("long")))
@@ -65,7 +73,7 @@ def permute(value: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permute_number(value: Column, high: int, low: int, key: str, kind: str) -> Column:
+def permute_number(value: Column, high: int | Column, low: int, key: str, kind: str) -> Column:
     """Feistel permutation of 0 .. high * low - 1."""
     start = F.struct(F.floor(value / low).cast("long").alias("h"), (value % low).cast("long").alias("l"))
 
@@ -113,10 +121,40 @@ def _iban(v: Column, key: str) -> Column:
     return F.when((mod97(bare) == 1) & F.length(bare).between(15, 34), _lay(v, F.concat(F.substring(bare, 1, 2), check, body), "[0-9A-Z]"))
 
 
+def _ten(d: Column, key: str) -> Column:
+    """Ten digits of country code 1: a permutation of those whose area and exchange begin alike (0 and 1, or 2 to 9)."""
+    at = lambda k, n=1: F.substring(d, k, n).cast("long")
+    size = lambda c: F.when(c >= 2, 8).otherwise(2)
+    least = lambda c: F.when(c >= 2, 2).otherwise(0)
+    area, exchange = at(1), at(4)
+    wide = size(exchange) * 100
+    high = ((area - least(area)) * 100 + at(2, 2)) * wide + (exchange - least(exchange)) * 100 + at(5, 2)
+    n = permute_number(high * 10_000 + at(7, 4), size(area) * 100 * wide, 10_000, key, "phone1")
+    top, low = F.floor(n / 10_000), n % 10_000
+    left, right = F.floor(top / wide), top % wide
+    pad = lambda x, w: F.lpad(x.cast("string"), w, "0")
+    return F.concat(pad(left + least(area) * 100, 3), pad(right + least(exchange) * 100, 3), pad(low, 4))
+
+
 def _phone(v: Column, key: str) -> Column:
-    code = F.regexp_extract(v, r"^\+[0-9]{1,3}(?=[ .\-(])|^\+[0-9]", 0)
-    rest = v.substr(F.length(code) + 1, F.length(v))
-    return F.when(F.length(_digits(v)).between(8, 15), F.concat(code, _lay(rest, permute(_digits(rest), key, "phone"), "[0-9]")))
+    d = _digits(v)
+    plus = F.startswith(v, F.lit("+"))
+    code = F.when(~plus, 0).when(d.rlike("^[17]"), 1).when(d.rlike("^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 2).otherwise(3)
+    rest = d.substr(code + 1, F.length(d))
+    own = F.when((F.length(rest) == 10) & (~plus | (F.substring(d, 1, 1) == "1")), _ten(rest, key)).otherwise(permute(rest, key, "phone"))
+    return F.when(F.length(d).between(8, 15), _lay(v, F.concat(d.substr(F.lit(1), code), own), "[0-9]"))
+
+
+def _ssn(v: Column, key: str) -> Column:
+    """A permutation of the valid numbers: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
+    at = lambda k, n: F.substring(v, k, n).cast("long")
+    area = at(1, 3) - 1 - (at(1, 3) > 666).cast("long")
+    n = permute_number((area * 99 + at(5, 2) - 1) * 9999 + at(8, 4) - 1, 898 * 99, 9999, key, "ssn")
+    high, low = F.floor(n / 9999), n % 9999 + 1
+    first = F.floor(high / 99) + 1
+    pad = lambda x, w: F.lpad(x.cast("string"), w, "0")
+    out = F.concat_ws("-", pad(first + (first >= 666).cast("long"), 3), pad(high % 99 + 1, 2), pad(low, 4))
+    return F.when(~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), out)
 
 
 def _ipv4(v: Column, key: str) -> Column:
@@ -141,7 +179,7 @@ def _pseudonyms(v: Column, key: str) -> dict[str, Column]:
     return {
         "email": F.concat(permute(v.substr(F.lit(1), at - 1), key, "email"), v.substr(at, F.length(v))),
         "iban": _iban(v, key), "card": _card(v, key), "ipv4": _ipv4(v, key), "iso": _date(v, "yyyy-MM-dd", key), "dmy": _date(v, "dd.MM.yyyy", key), "mdy": _date(v, "MM/dd/yyyy", key),
-        "ssn": F.when(~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), _lay(v, permute(_digits(v), key, "ssn"), "[0-9]")), "phone": _phone(v, key),
+        "ssn": _ssn(v, key), "phone": _phone(v, key),
     }
 
 
@@ -197,11 +235,14 @@ def _within(v: Column, key: str) -> Column:
     return F.aggregate(spans, begin, take, lambda s: F.struct(F.concat(s["out"], v.substr(s["next"], n)).alias("out"), s["found"].alias("found")))
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "foldstone") -> DataFrame:
-    """``docs`` with pseudonyms in the text, and ``findings``: array of struct(kind, pseudonym).
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms in the text, and ``findings``: array of struct(kind, pseudonym); a column of this name is replaced.
 
     The rare texts that hold a candidate take the way through arrays; each distinct value is permuted where it stands.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    key = hashlib.sha256(f"pseudonyms|{key}".encode()).hexdigest()
     text = F.col(text_col)
     suspect = text.rlike("[0-9]") | F.contains(text, F.lit("@"))
     values = F.when(F.coalesce(suspect, F.lit(False)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))

@@ -91,7 +91,7 @@ def luhn(s):
 def test_pii(spark):
     text = ["card 4111 1111 1111 1111.", "again 4111-1111-1111-1111 and 4111111111111111", "DE89370400440532013000", "on 1984-02-29 or 31.12.1999 or 02/30/2001", "+1 (262) 555-7240", "ip 29.217.126.147", "a.b7@mail.example.com", "4111111111111112 999.1.1.1 v2.0", None, "", "clean words"]
     df = docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(text)]).withColumn("findings", F.lit(1))
-    got = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, key="k").collect()}
     out = [got[i]["text"] for i in range(len(text))]
     card = re.sub(r"\D", "", out[0])
     assert luhn(card) and card != "4" + "1" * 15 and re.fullmatch(r"card 4\d{3} \d{4} \d{4} \d{4}\.", out[0])
@@ -102,13 +102,13 @@ def test_pii(spark):
     assert all(int(x) < 256 for x in out[5][3:].split(".")) and out[5] != text[5]
     assert re.fullmatch(r"[a-z]\.[a-z]\d@mail\.example\.com", out[6]) and out[6] != text[6]
     assert out[7:] == text[7:] and all(not got[i]["findings"] for i in range(7, 11))
-    assert pii.pseudonymise(df.where("doc_id < 0")).count() == 0
+    assert pii.pseudonymise(df.where("doc_id < 0"), key="k").count() == 0
 
 
 def test_pii_beside_other_numbers(spark):
     card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
     text = [f"{card} 12/27", f"{card} 123", "4111-1111-1111-1111 04/29", f"{iban} VISA", f"12 {card}", "1984-02-29 1999-11", "4111 1111 1111 1112 12/27", card, iban]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(text)])).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(text)]), key="k").collect()}
     out = [got[i]["text"] for i in range(len(text))]
     assert out[:2] == [f"{out[7]} 12/27", f"{out[7]} 123"] and out[2] == out[7].replace(" ", "-") + " 04/29" and out[3] == f"{out[8]} VISA" and out[4] == f"12 {out[7]}"
     assert out[5] != text[5] and out[5].endswith(" 1999-11") and out[6] == text[6] and out[7] != card and out[8] != iban
