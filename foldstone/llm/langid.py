@@ -11,24 +11,28 @@ The model is fitted on at most ``most_per_language`` labelled documents of each
 hash of their id), whole texts; every document is scored over its whole text, in linear time.
 
 Edge cases: null text or text without a letter is ``und`` with score 0; no labelled documents: everything is ``und``;
-repeated rows are scored each; ties go to the language first by code point; empty tables give none.
+repeated rows are scored each; ties go to the language first by code point; empty tables give none.  More than
+``MOST_LANGUAGES`` distinct languages are refused, as the model goes to every task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foldstone.llm.common import small_enough, stored
+
 BUCKETS = 1 << 14
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+MOST_LANGUAGES = 1000
 #: ASCII bytes other than letters part words; bytes of other characters stay.
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _PIECE = 1 << 20
@@ -96,10 +100,12 @@ def fit(labelled: DataFrame, *, text_col: str, lang_col: str, id_col: str, most_
     """Fit on a bounded sample; the counts (languages x BUCKETS) are summed on the executors."""
     key = F.xxhash64(F.lit("langid"), F.col(id_col))
     first = W.partitionBy(lang_col).orderBy(key, F.col(id_col))
-    # Thin rows choose the sample, texts are fetched after: ids are few, so they are sent to the scan.
+    # Thin rows choose the sample; texts are fetched after, by ids of which there are at most languages x most_per_language.
     chosen = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most_per_language).select(F.col(id_col).alias("__id")).distinct()
-    ids = [r[0] for r in chosen.collect()]  # at most languages x most_per_language
-    sample = labelled.where(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = stored(chosen, "langid")
+    if small_enough(chosen, MOST_LANGUAGES * most_per_language):
+        chosen = F.broadcast(chosen)
+    sample = labelled.where(F.col(lang_col).isNotNull()).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -112,7 +118,11 @@ def fit(labelled: DataFrame, *, text_col: str, lang_col: str, id_col: str, most_
             at = c.nonzero()[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = stored(rows, "langid-counts")
+    if not small_enough(rows.select("lang").distinct(), MOST_LANGUAGES):
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = rows.toPandas()
     languages = sorted(set(rows["lang"]))
     counts = np.zeros((BUCKETS, len(languages)))
     for k, lang in enumerate(languages):
@@ -123,10 +133,10 @@ def fit(labelled: DataFrame, *, text_col: str, lang_col: str, id_col: str, most_
     return Model(languages, np.concatenate([p, flat], axis=1))
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and noise; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "noise")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("noise")).schema
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "noise")) -> DataFrame:
+    """``docs`` with language, score and noise under ``names``; columns of these names are replaced."""
+    docs = docs.drop(*names)
+    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(0.0).alias(names[2])).schema
     place = docs.columns.index(text_col)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -134,7 +144,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
         for batch in batches:
             got = [known.value.infer(x.as_py()) for x in batch.column(place)]
             cols = list(zip(*got)) if got else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], [*batch.schema.names, "lang_pred", "score", "noise"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
