@@ -10,8 +10,8 @@ Queries visit every shard, in blocks, and each shard returns its k best with sco
 original vectors; a window merges them.  Every row is indexed; recall is measured in the tests and the README.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, and null ids take no part;
-vectors are compared with those of the same length only; repeated rows of an id count once; a query never meets its
-own id; fewer than k candidates: all; ties go to the smaller id; empty tables give none.
+vectors are compared with those of the same length only; of the vectors of one length under one id the least, by
+components, counts, so an id is met once; a query never meets its own id; fewer than k candidates: all; ties go to the smaller id; empty tables give none.
 """
 
 from __future__ import annotations
@@ -181,12 +181,11 @@ def build_index(rows: DataFrame, *, id_col: str, vector_col: str, shard_rows: in
         v = (pa.chunked_array(v) if not isinstance(v, pa.ChunkedArray) else v)
         flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in v.chunks]).reshape(-1, dim)
         order = np.lexsort((*flat.T[::-1], ids))
+        order = order[np.concatenate(([True], np.diff(ids[order]) != 0))]
         ids, flat = ids[order], flat[order]
         nodes, inverse = np.unique(flat, axis=0, return_inverse=True)
         by = np.lexsort((ids, inverse.ravel()))
         members, owner = ids[by], inverse.ravel()[by]
-        fresh = np.concatenate(([True], (members[1:] != members[:-1]) | (owner[1:] != owner[:-1])))
-        members, owner = members[fresh], owner[fresh]
         offsets = np.searchsorted(owner, np.arange(len(nodes) + 1)).astype(np.int64)
         layers = [{"members": m.astype(np.int32).tobytes(), "links": links.tobytes()} for m, links in build_layers(_padded(nodes))]
         layer = pa.struct([("members", pa.binary()), ("links", pa.binary())])
@@ -221,15 +220,21 @@ class _Shard:
             yield from ((int(qid[i]), j, s) for s, j in best[:k])
 
 
-def search(index: DataFrame, shards: dict[int, int], queries: DataFrame, *, id_col: str, vector_col: str, k: int = 20, ef: int = 128, block: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query."""
-    spark = index.sparkSession
+def search(index: DataFrame, shards: dict[int, int], queries: DataFrame, *, id_col: str, vector_col: str, k: int = 20, ef: int = 128, block: int = 512, task_queries: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query; at least 2 k nodes are kept open.
+
+    A task gets one shard, a bounded row, and about ``task_queries`` queries: the shard is sent to as many tasks as that takes.
+    """
+    spark, ef = index.sparkSession, max(ef, 2 * k)
     if not shards:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = _valid(queries, id_col, vector_col).groupBy(F.col("vec_id").alias("qid")).agg(F.min("v").alias("qv")).withColumn("dim", F.size("qv"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), _by_dim(shards) - 1)))
-    both = index.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    placed = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    asked = stored(asked.where(F.col("dim").isin(list(shards))), "hnsw-queries")
+    salts = -(-asked.count() // task_queries) or 1
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64(F.lit("block"), "qid"), F.lit(salts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), _by_dim(shards) - 1)))
+    sent = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = sent.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    placed = both.repartition("dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
