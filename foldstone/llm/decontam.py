@@ -12,7 +12,7 @@ Where ``width`` tokens hold too few literal ones, the window goes on to the thir
 Coverage and consistency are judged by the first two readings alone, by all three, and with the longer and exact
 windows too: one of the judgements is enough.
 
-If the benchmark has at most ``most_broadcast`` windows, its hashes go to the tasks, which put out only windows that
+If the benchmark has at most ``most_broadcast`` windows, these go to the tasks, which put out only windows that
 have a partner; beyond that every document window is put out and shuffled: the same result.  Both ways read whole
 texts.  Edge cases: null and empty texts hold no window; items shorter than a window are one window of their own
 length; items of fewer than 3 tokens take no part (``without_windows`` lists them); signs of arithmetic are no tokens; repeated rows of an item count once, of a document each
@@ -95,64 +95,69 @@ def templates(text: str, codes: _Codes, exact: bool = False) -> tuple[list[str],
     return tokens, readings
 
 
-def windows(template: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it may be joined: no unknown word and enough literals."""
-    n = len(template) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total = np.full(n, np.uint64(width))
-    for k in range(width):
-        total = (total ^ (total >> np.uint64(29))) * _PRIME + template[k : k + n]
-    sums = np.concatenate(([0], np.cumsum(literal)))
-    unknown = np.concatenate(([0], np.cumsum(template == 0)))
-    return total, (sums[width:] - sums[:-width] >= LEAST_LITERALS) & (unknown[width:] == unknown[:-width])
+def _before(mask: np.ndarray) -> np.ndarray:
+    """How often the mask holds before each place."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
 
 
-def longer_windows(template: np.ndarray, literal: np.ndarray, width: int, lengths: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _hashed(template: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    total = np.full(len(at), np.uint64(length))
+    for k in range(length):
+        total = (total ^ (total >> np.uint64(29))) * _PRIME + template[at + k]
+    return total
+
+
+def windows(template: np.ndarray, literals: np.ndarray, unknown: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the windows that may be joined: no unknown word and enough literals, by their counts before each place."""
+    if len(template) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero((literals[width:] - literals[:-width] >= LEAST_LITERALS) & (unknown[width:] == unknown[:-width]))
+    return at, _hashed(template, at, width)
+
+
+def longer_windows(template: np.ndarray, literals: np.ndarray, unknown: np.ndarray, width: int, lengths: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, places, hashes) of the windows that go on to their last needed literal, since ``width`` tokens have too few."""
-    n = len(template) - width + 1
-    if n <= 0 or (lengths is not None and not len(lengths)):
+    if len(template) < width or (lengths is not None and not len(lengths)):
+        return
+    at = np.flatnonzero((literals[width:] - literals[:-width] < LEAST_LITERALS) & (unknown[width:] == unknown[:-width]))
+    if not len(at):
         return
-    sums = np.concatenate(([0], np.cumsum(literal)))
-    at = np.flatnonzero(sums[width:] - sums[:-width] < LEAST_LITERALS)
-    end = np.searchsorted(sums, sums[at] + LEAST_LITERALS)
-    at, size = at[end < len(sums)], (end - at)[end < len(sums)]
-    unknown = np.concatenate(([0], np.cumsum(template == 0)))
+    end = np.searchsorted(literals, literals[at] + LEAST_LITERALS)
+    at, size = at[end < len(literals)], (end - at)[end < len(literals)]
     fine = unknown[at + size] == unknown[at]
     if lengths is not None:
         fine &= np.isin(size, lengths)
     at, size = at[fine], size[fine]
     for length in np.unique(size).tolist():
         own = at[size == length]
-        total = np.full(len(own), np.uint64(length))
-        for k in range(length):
-            total = (total ^ (total >> np.uint64(29))) * _PRIME + template[own + k]
-        yield length, own, total
+        yield length, own, _hashed(template, own, length)
 
 
 def _slots(tokens: list[str], template: np.ndarray, literal: np.ndarray, at: int, width: int) -> list[dict]:
     return [{"at": k - at, "kind": str(int(template[k]) & 0xFF), "value": tokens[k].lower()} for k in range(at, at + width) if not literal[k]]
 
 
-def _rows(ids: list[int], texts: list[str], widths: list[int], known: frozenset[str] | None, wanted: np.ndarray | None, lengths: np.ndarray | None = None, exact: bool = True, own_width: int | None = None) -> pa.RecordBatch:
+def _rows(ids: list[int], texts: list[str], widths: list[int], codes: _Codes, wanted: np.ndarray | None, lengths: np.ndarray | None = None, exact: bool = True, own_width: int | None = None) -> pa.RecordBatch:
     """The windows of texts; of documents, or of items if they have their ``own_width``."""
-    codes = _Codes(known)
     out: tuple[list, list, list, list, list, list] = ([], [], [], [], [], [])
     for i, text in zip(ids, texts):
         tokens, readings = templates(text, codes, exact) if text else ([], [])
         if own_width is not None and readings and readings[0][2].sum() >= LEAST_LITERALS:
             readings = [r for r in readings if r[0] != _EXACT]
         for way, template, literal, anew in readings:
-            sums = None if anew is None else np.concatenate(([0], np.cumsum(anew)))
+            sums = None if anew is None else _before(anew)
+            literals, unknown = _before(literal), _before(template == 0)
             found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             for width in widths if own_width is None else [min(own_width, len(template))]:
-                hashes, fine = windows(template, literal, width)
-                if sums is not None and len(fine) and (way > 1 or own_width is not None):  # other windows are those of an earlier reading
-                    fine &= sums[width:] > sums[:-width]
-                at = np.flatnonzero(fine)
-                found.append((way, width, at, hashes[at]))
+                at, hashes = windows(template, literals, unknown, width)
+                if sums is not None and len(at) and (way > 1 or own_width is not None):  # other windows are those of an earlier reading
+                    new = sums[at + width] > sums[at]
+                    at, hashes = at[new], hashes[new]
+                found.append((way, width, at, hashes))
             if way != _EXACT:
-                for length, at, hashes in longer_windows(template, literal, own_width or widths[-1], lengths):
+                for length, at, hashes in longer_windows(template, literals, unknown, own_width or widths[-1], lengths):
                     new = slice(None) if sums is None else sums[at + length] > sums[at]
                     found.append((_LONGER, length, at[new], hashes[new]))
             for as_way, length, at, hashes in found:
@@ -183,16 +188,17 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(None)
         for b in batches:
-            yield _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), [], None, None, own_width=width)
+            yield _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), [], codes, None, own_width=width)
 
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(run, HIT).dropDuplicates(["id", "pos", "way", "hash"])
 
 
-def _judged(column: str) -> Column:
-    """The judgements a row of way ``column`` takes part in: 0 by the first two readings, 1 by all, 2 with longer and exact windows."""
-    return F.explode(F.sequence(F.when(F.col(column) < 2, 0).when(F.col(column) == 2, 1).otherwise(2), F.lit(2))).alias("by")
+def _judged_by(way: Column) -> Column:
+    """The judgements a row of this way takes part in: 0 by the first two readings, 1 by all, 2 with longer and exact windows."""
+    return F.explode(F.sequence(F.when(way < 2, 0).when(way == 2, 1).otherwise(2), F.lit(2))).alias("by")
 
 
 def without_windows(benchmark: DataFrame, *, item_col: str = "item_id", item_text: str = "text", width: int = 5) -> DataFrame:
@@ -201,10 +207,10 @@ def without_windows(benchmark: DataFrame, *, item_col: str = "item_id", item_tex
     return benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id")).distinct().join(held, "item_id", "left_anti")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.5, consistency: float = 0.8, most_broadcast: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, coverage: float = 0.5, consistency: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, coverage, consistency): one row for each item a document leaks."""
     items = stored(_items(benchmark, item_col, item_text, width), "items")
-    sizes = items.select(F.col("id").alias("item_id"), "pos", _judged("way")).groupBy("item_id", "by").agg(F.countDistinct("pos").alias("item_windows"))
+    sizes = items.select(F.col("id").alias("item_id"), "pos", _judged_by(F.col("way"))).groupBy("item_id", "by").agg(F.countDistinct("pos").alias("item_windows"))
     facts = benchmark.select(F.col(item_text)).mapInArrow(_facts, "token string, n int").distinct()
     lengths = facts.where("token is null").select(F.least(F.lit(width), "n")).distinct()
     widths = sorted({width} | {r[0] for r in lengths.collect()} - {0, 1, 2})  # at most ``width`` of them
@@ -223,20 +229,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, wanted = sent.value
+        codes = _Codes(known)
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                yield _rows(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist(), widths, known, wanted, longer, exact)
+                yield _rows(b.column(0)[k : k + 256].to_pylist(), b.column(1)[k : k + 256].to_pylist(), widths, codes, wanted, longer, exact)
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, HIT)
-    theirs = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("way").alias("item_way"), F.col("slots").alias("item_slots"))
-    if wanted is not None:
-        theirs = F.broadcast(theirs)
-    hits = stored(found.join(theirs, "hash").select(F.col("id").alias("doc_id"), "item_id", "pos", "item_pos", F.greatest("way", "item_way").alias("way"), "slots", "item_slots"), "hits")
-    hits = hits.select("*", _judged("way"))
+    if wanted is None:
+        found = found.join(items.select("hash").distinct(), "hash", "left_semi")
+    found = stored(found, "found")  # only windows with a partner
+    fits = lambda df: F.broadcast(df) if wanted is not None else df
+    # Coverage first, on each document's distinct windows, however often it repeats them; places and slots only for the
+    # pairs that have it.
+    theirs = items.groupBy("hash", F.col("id").alias("item_id"), F.col("way").alias("item_way")).agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    once = found.groupBy("hash", F.col("id").alias("doc_id")).agg(F.min("way").alias("way"))
+    met = once.join(fits(theirs), "hash").select("doc_id", "item_id", _judged_by(F.greatest("way", "item_way")), F.explode("places").alias("item_pos"))
     pair = ["doc_id", "item_id", "by"]
-    matched = hits.groupBy(pair).agg(F.countDistinct("item_pos").alias("matched"))
-    enough = matched.join(sizes, ["item_id", "by"]).withColumn("coverage", F.col("matched") / F.col("item_windows")).where(F.col("coverage") >= coverage)
-    pairs = hits.where(F.size("slots") > 0).select(*pair, (F.col("pos") - F.col("item_pos")).alias("line"), F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
+    matched = met.groupBy(pair).agg(F.countDistinct("item_pos").alias("matched"))
+    enough = stored(matched.join(fits(sizes), ["item_id", "by"]).withColumn("coverage", F.col("matched") / F.col("item_windows")).where(F.col("coverage") >= coverage), "covered")
+    candidates = enough.select("doc_id", "item_id").distinct()
+    places = items.where(F.size("slots") > 0).select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("way").alias("item_way"), F.col("slots").alias("item_slots"))
+    own = found.where(F.size("slots") > 0).withColumnRenamed("id", "doc_id").join(candidates, "doc_id")
+    hits = own.join(fits(places), ["hash", "item_id"]).select("doc_id", "item_id", "pos", "item_pos", "slots", "item_slots", _judged_by(F.greatest("way", "item_way")))
+    pairs = hits.select(*pair, (F.col("pos") - F.col("item_pos")).alias("line"), F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
     votes = pairs.groupBy(*pair, "line", F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).count()
     modal = votes.groupBy(*pair, "line", "theirs").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
     lines = modal.groupBy(*pair, "line").agg((F.sum("top") / F.sum("all")).alias("share"), F.sum("all").alias("weight"))
