@@ -10,13 +10,16 @@ around them meet, so each fingerprint that shares a bucket with another is linke
 ball members.  A bucket of thousands costs 65 rows each, never thousands squared.
 
 ``near_duplicates`` serves five-word shingles and a Jaccard similarity of 0.8.  Candidates come first from covering
-tables over ``prints`` fingerprints of the set of two-word shingles (which an edit moves least).  The pairs they don't
-join come from an exact prefix join: with the shingles of every set in one order, two sets at the similarity share one of their first
-n - ceil(similarity * n) + 1, so no linked pair is missed.  The order is rare first, by frequencies in a sample of
-texts: it decides what the join costs and never what it finds.  Every candidate pair of distinct texts is confirmed on its whole sets of five-word shingles.
+tables over ``prints`` fingerprints of the set of two-word shingles (which an edit moves least): each text is paired
+with the first of its bucket, so a family of thousands puts out its members and not its pairs.  The pairs they don't
+join come from an exact prefix join: with the shingles of every set in one order, two sets at the similarity share one
+of their first n - ceil(similarity * n) + 1, so no linked pair is missed.  The order is rare first, by frequencies in
+a sample of texts: it decides what the join costs and never what it finds.  Every candidate pair of distinct texts is
+confirmed on its whole sets of five-word shingles.  Texts are known by 64-bit hashes of their words.
 
 Edge cases: null and wordless texts have fingerprint 0, linked like any other; texts shorter than a shingle count as
-one; a null id takes part and, if alone, has a null component; repeated rows are linked; empty tables give none.
+one; a null id takes part and, if alone, has a null component; repeated rows, and different texts under one id, are
+documents of their own; empty tables give none.
 """
 
 from __future__ import annotations
@@ -127,23 +130,20 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would count the absolute value
+def star_pairs(reps: DataFrame, *, radius: int, most_bits: int) -> DataFrame:
+    """(a, b) of nodes: each with the first of every covering bucket it is in, if they differ in at most ``most_bits``.
 
-
-def candidate_pairs(reps: DataFrame, *, radius: int, most_bits: int, block: int = 512) -> DataFrame:
-    """(a, b) with a < b of ids whose fingerprints share a covering table and differ in at most ``most_bits``.
-
-    ``reps`` has (id, fps: one or more fingerprints).  Buckets stream through in key order; a bucket is compared block by block on
-    fingerprints in numpy, so a task holds 24 bytes a member, and only pairs within ``most_bits`` are put out.
+    ``reps`` has (node, fps: one or more fingerprints).
     """
-    each = reps.select("id", F.posexplode("fps").alias("print", "fp"))
-    keyed = each.select(_tables(each, radius, F.col("print")).alias("key"), "id", "fp")
-    return _bucket_pairs(keyed, lambda x, y: _popcount(x[2] ^ y[2]) <= most_bits, block)
+    each = reps.select("node", F.posexplode("fps").alias("print", "fp"))
+    keyed = each.select(_tables(each, radius, F.col("print")).alias("key"), "node", "fp")
+    first = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.node").alias("a"), F.col("p.fp").alias("of"))
+    near = keyed.join(first, "key").where((F.col("node") != F.col("a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= most_bits))
+    return near.select("a", F.col("node").alias("b")).distinct()
 
 
 def _bucket_pairs(keyed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 512) -> DataFrame:
-    """(a, b) with a < b of ids in one bucket of ``keyed`` (key, id, more whole numbers) for which ``near`` holds.
+    """(a, b) with a < b of nodes of different roots in one bucket of ``keyed`` (key, node, root, more whole numbers) for which ``near`` holds.
 
     ``near`` gets the columns of the one side and of the other, which broadcast against each other.
     """
@@ -151,9 +151,12 @@ def _bucket_pairs(keyed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.
     sorted_ = keyed.repartition("key").sortWithinPartitions("key")
 
     def within(r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        r = r[:, np.argsort(r[2], kind="stable")]
         n = r.shape[1]
         for p in range(0, n, block):
             for q in range(p, n, block):
+                if r[2, p] == r[2, min(q + block, n) - 1]:
+                    continue  # all of one root
                 ok = near(r[:, p : p + block, None], r[:, None, q : q + block])
                 x, y = np.nonzero(np.triu(ok, 1) if p == q else ok)
                 if len(x):
@@ -211,9 +214,10 @@ def _bucket_pairs(keyed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.
     return sorted_.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
-def _same(text: bytes | None) -> bytes:
-    words = (text or b"").lower().split()
-    return xxhash.xxh128_digest(b" ".join(words)) if words else b""
+def _node(text: bytes | None) -> int:
+    """What a text is known by: XXH64 of its words, signed."""
+    h = xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), 42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -225,7 +229,7 @@ def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, i
             for x in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), width)).view(np.int64))], ["h"])
 
-    counts = thin.where(F.pmod(F.xxhash64(F.lit("often"), "doc_id"), F.lit(every)) == 0).mapInArrow(sets, "h long").groupBy("h").count().where("count > 1")
+    counts = thin.where(F.pmod(F.xxhash64(F.lit("often"), "raw"), F.lit(every)) == 0).mapInArrow(sets, "h long").groupBy("h").count().where("count > 1")
     top = counts.orderBy(F.desc("count"), "h").limit(_MOST_COUNTED).toPandas()
     hashes, n = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     order = np.argsort(hashes)
@@ -233,10 +237,11 @@ def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, i
 
 
 def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity: float) -> DataFrame:
-    """(a, b) with a < b of ids in different components that may have the similarity: all pairs that have it, and others.
+    """(a, b) with a < b of nodes in different components that may have the similarity: all pairs that have it, and others.
 
-    ``thin`` has (doc_id, text), ``classes`` (id, same, root).  A common shingle counts only where what follows it in both sets still
-    allows the similarity.  Buckets that look large in the sample are dealt by id into blocks, one bucket for each two.
+    ``thin`` has (raw, text), ``classes`` (raw, node, root).  A common shingle counts only where what follows it in both sets still
+    allows the similarity.  Buckets that look large in the sample are dropped if all their members have one root, else
+    dealt by node into blocks, one bucket for each two.
     """
     sent = thin.sparkSession.sparkContext.broadcast(_frequencies(thin, width))
 
@@ -245,73 +250,70 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
         for batch in batches:
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = x.as_py()
-                s = np.unique(shingle_hashes(text, width))
-                if i is None or not len(s):
+                s = np.unique(shingle_hashes(x.as_py(), width))
+                if not len(s):
                     continue
                 often = np.zeros(len(s), np.int64)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = np.where(known[place] == s, counts[place], 0)
                 first = np.argsort(often, kind="stable")[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
-                at = np.arange(len(first), dtype=np.int32)
-                keys = s[first]
-                blocks = -(-often[first] * every // _HOT)
-                if (blocks > 1).any():
-                    k = np.repeat(at, np.maximum(blocks, 1))
-                    each = np.concatenate([np.arange(max(b, 1)) for b in blocks.tolist()])
-                    own = xxhash.xxh64_intdigest(str(i)) % np.maximum(blocks, 1)[k].astype(np.uint64)
-                    low, high = np.minimum(own, each.astype(np.uint64)), np.maximum(own, each.astype(np.uint64))
-                    keys, at = _remixed(keys[k] + (low * np.uint64(0x9E3779B1) + high) * np.uint64(0xC2B2AE3D27D4EB4F), 1), k.astype(np.int32)
-                    keys = np.where(blocks[k] > 1, keys, s[first][k])
-                for column, value in zip(out, (i, _same(text), len(s), keys.view(np.int64), at)):
+                blocks = np.maximum(-(-often[first] * every // _HOT), 1)
+                for column, value in zip(out, (i, len(s), s[first].view(np.int64), np.arange(len(first), dtype=np.int32), blocks.astype(np.int32))):
                     column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["doc_id", "own", "n", "keys", "ats"])
-
-    rows = thin.mapInArrow(prefixed, "doc_id long, own binary, n int, keys array<bigint>, ats array<int>")
-    rows = rows.join(classes, (F.col("own") == F.col("same")) & (F.col("doc_id") == F.col("id")))
-    keyed = rows.select("id", "root", "n", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select(F.col("z.keys").alias("key"), "id", "root", "n", F.col("z.ats").alias("at"))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "ats", "blocks"])
+
+    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, ats array<int>, blocks array<int>").join(classes, "raw")
+    rows = stored(rows.select("node", "root", "n", "keys", "ats", "blocks"), "prefixes")
+    each = rows.select("node", "root", "n", F.explode(F.arrays_zip("keys", "ats", "blocks")).alias("z")).select(F.col("z.keys").alias("key"), "node", "root", "n", F.col("z.ats").alias("at"), F.col("z.blocks").alias("blocks"))
+    hot = stored(each.where("blocks > 1"), "hot")
+    mixed = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
+    dealt = hot.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), "node", "root", "n", "at")
     share = similarity / (1 + similarity)
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (x[2] != y[2]) & (np.minimum(x[3] - x[4], y[3] - y[4]) >= share * (x[3] + y[3]) - 1e-6)
 
-    return _bucket_pairs(keyed, near)
+    return _bucket_pairs(each.where("blocks = 1").drop("blocks").union(dealt), near)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 5, most_bits: int = 16) -> DataFrame:
-    """(doc_id, component_id): texts linked at Jaccard >= ``similarity`` of their ``width``-word shingle sets.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 4, most_bits: int = 16) -> DataFrame:
+    """(doc_id, raw, component_id, keep): texts linked at Jaccard >= ``similarity`` of their ``width``-word shingle sets.
 
-    Texts with the same words are one class; links are found between class representatives only.
+    Texts with the same words are one node; links are found between nodes only.  ``raw`` is a hash of id and text;
+    ``keep`` marks the rows of the least id (null ids last) of each component.
     """
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("raw"), F.col(text_col).cast("binary").alias("text"))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
+            nodes, fps = [], []
+            for x in batch.column(2):
                 text = x.as_py()
                 hashes = np.unique(shingle_hashes(text, 2))
-                rows.append((_same(text), [majority(_remixed(hashes, k)) for k in range(prints)]))
-            same, fps = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "same", "fps"])
+                nodes.append(_node(text))
+                fps.append([majority(_remixed(hashes, k)) for k in range(prints)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "fps"])
+
+    all_ = stored(thin.mapInArrow(printed, "doc_id long, raw long, node long, fps array<bigint>"), "prints")
+    reps = stored(all_.groupBy("node").agg(F.min("raw").alias("raw"), F.first("fps").alias("fps"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("least"), F.count("*").alias("rows")), "reps")
 
-    all_ = stored(thin.mapInArrow(printed, "doc_id long, same binary, fps array<bigint>"), "prints")
-    reps = stored(all_.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fps").alias("fps")).where("id is not null"), "reps")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["node", "s"])
 
     def links(pairs: DataFrame) -> DataFrame:
         """(u, v): links of at least the similarity that give all components of the pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "raw"), "node")
         if small_enough(wanted, 4_000_000):
             wanted = F.broadcast(wanted)
-        held = stored(thin.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s array<bigint>").groupBy("id").agg(F.first("s").alias("s")), "sets")
+        held = stored(thin.join(wanted, "raw").select("node", "text").mapInArrow(sets, "node long, s array<bigint>").groupBy("node").agg(F.first("s").alias("s")), "sets")
 
         def confirmed(some: DataFrame) -> DataFrame:
-            both = some.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+            both = some.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
             shared = F.size(F.array_intersect("sa", "sb"))
             return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -323,22 +325,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
         return stored(stars.union(confirmed(rest)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
-    close = links(stored(candidate_pairs(reps, radius=radius, most_bits=most_bits), "pairs"))
-    roots = components(close)
-    classes = reps.join(roots, F.col("id") == F.col("node"), "left").select("id", "same", F.coalesce("root", "id").alias("root"))
-    far = links(stored(prefix_pairs(thin, classes, width=width, similarity=similarity), "pairs"))
-    linked = components(close.union(far))
-    own = reps.join(linked, F.col("id") == F.col("node"), "left").select("same", F.coalesce("root", "id").alias("component_id"))
-    return all_.join(own, "same", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that are not the least of their group; repeated rows of one id stay once."""
-    gone = stored(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    again = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
+    close = links(stored(star_pairs(reps, radius=radius, most_bits=most_bits), "pairs"))
+    roots = components(close).withColumnRenamed("node", "of")
+    classes = reps.join(roots, F.col("node") == F.col("of"), "left").select("raw", "node", F.coalesce("root", "node").alias("root"))
+    far = links(stored(prefix_pairs(thin.select("raw", "text"), classes, width=width, similarity=similarity), "pairs"))
+    linked = components(close.union(far)).withColumnRenamed("node", "of")
+    of = reps.join(linked, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = of.groupBy("root").agg(F.min("least").alias("first"))
+    own = of.join(first, "root").select("node", "first")
+    return all_.join(own, "node").select("doc_id", "raw", F.col("first.doc_id").alias("component_id"), (F.col("raw") == F.col("first.raw")).alias("keep"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that of least id: other rows go by id and text, and a row repeated whole stays once."""
+    raws = groups.groupBy("raw").agg(F.first("keep").alias("keep"), F.count("*").alias("n"))
+    raws = stored(raws.where(~F.col("keep") | (F.col("n") > 1)).select(F.col("raw").alias("__r"), "keep"), "gone")
+    gone, again = raws.where(~F.col("keep")).select("__r"), raws.where("keep").select("__r")
     fits = lambda df: F.broadcast(df) if small_enough(df, 4_000_000) else df
-    kept = docs.join(fits(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__raw", F.xxhash64(id_col, text_col))
+    kept = keyed.join(fits(gone), F.col("__raw") == F.col("__r"), "left_anti")
     if again.limit(1).count():
-        once = kept.join(fits(again), F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
-        kept = kept.join(fits(again), F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
-    return kept
+        once = kept.join(fits(again), F.col("__raw") == F.col("__r"), "left_semi").dropDuplicates(["__raw"])
+        kept = kept.join(fits(again), F.col("__raw") == F.col("__r"), "left_anti").unionByName(once)
+    return kept.drop("__raw")

@@ -387,10 +387,28 @@ def test_prefix_join_deals_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_HOT", 8)
     same = " ".join(f"w{k}" for k in range(60))
     rows = [(i, f"{same} x{i}") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
-    classes = spark.createDataFrame([(i, simhash._same(t.encode()), i) for i, t in rows], "id long, same binary, root long")
-    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(docs, classes, width=5, similarity=0.8).collect()}
-    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    docs = spark.createDataFrame(rows, "raw long, text string").withColumn("text", F.col("text").cast("binary"))
+    pairs = lambda root: {(r["a"], r["b"]) for r in simhash.prefix_pairs(docs, spark.createDataFrame([(i, i, root(i)) for i, _ in rows], "raw long, node long, root long"), width=5, similarity=0.8).collect()}
+    assert pairs(lambda i: i) == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    assert pairs(lambda i: i % 2) == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
+    assert pairs(lambda i: 0) == set()
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(1, text(0)), (1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(3)), (4, text(3) + " more")]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs, simhash.near_duplicates(docs)).collect())
+    assert kept == Counter([(1, text(0)), (1, text(1)), (None, text(2)), (3, text(3))])
+    assert simhash.keep_one(docs.where("doc_id > 9"), simhash.near_duplicates(docs.where("doc_id > 9"))).count() == 0
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    """Pairs grow with the members of a family, not with their square."""
+    n = 20_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', k)), concat('x', id), concat('y', id * 7)) as text")
+    groups = simhash.near_duplicates(docs)
+    assert groups.where("component_id = 0").count() == n and simhash.keep_one(docs, groups).count() == 1
 
 
 # ---- pipeline
