@@ -6,16 +6,19 @@ tokens it expands to recorded as an attachment.  The template is ``<|im_start|>r
 
 Escaping is reversible and leaves no control string inside a text: ``&`` becomes ``&amp;`` and ``<|`` becomes
 ``&lt;|`` (in roles a line feed becomes ``&nl;`` too), so ``<|`` occurs in the output only where the template put it.
-The loss mask lists the code point spans of the assistant's bodies.
+The loss mask lists the code point spans of the assistant's bodies, each with the number of its turn.  Places are
+running sums over a conversation's turns, so the work grows with its length and not with its square.
 
 Edge cases: null text, role or parts count as empty; null turns come first; equal turns are ordered by role, then
 content, so repeated rows keep their number; null conversation ids form one conversation; empty tables give none.
-A conversation is one output string, so it must fit in memory; turns of different ones never meet in a row.
+A conversation is one output string and is put together in one task: it must fit in memory, and can't exceed the 2 GB
+of a string (beyond that Spark raises an error; nothing is cut).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -63,7 +66,7 @@ def visit(parts: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None, learn_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_mask (array of start, length), attachments, expanded_tokens."""
+    """One row per conversation: conv_id, formatted, loss_mask (array of turn, start, length), attachments, expanded_tokens."""
     pieces = visit(F.col(parts_col) if parts_col else text_parts(F.col(text_col)))
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), _escape_role(F.col(role_col)).alias("role"), pieces.alias("pieces"))
     rows = rows.withColumn("body", F.array_join(F.transform("pieces", lambda p: p["body"]), ""))
@@ -71,18 +74,15 @@ def format_chat(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "t
     rows = rows.withColumn("head", F.concat(F.lit(START), "role", F.lit("\n"))).withColumn("turn_text", F.concat("head", "body", F.lit(END + "\n")))
     found = F.zip_with("pieces", "inner_at", lambda p, at: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"), at.alias("at")))
     rows = rows.withColumn("found", F.filter(found, lambda x: x["kind"].isNotNull()))
-    one = F.struct("turn", "role", "turn_text", F.length("turn_text").alias("n"), F.length("head").alias("skip"), F.length("body").alias("inside"), "found")
+    by = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    start = F.coalesce(F.sum(F.length("turn_text").cast("long")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.length("head")
+    rows = rows.withColumn("k", F.row_number().over(by)).withColumn("start", start.cast("int"))
+    spans = F.struct((F.col("k") - 1).alias("turn"), "start", F.length("body").alias("length"))
+    moved = F.transform("found", lambda a: F.struct(a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"), (a["at"] + F.col("start")).alias("at")))
+    one = F.struct("k", "turn_text", F.when(F.col("role") == learn_role, spans).alias("span"), moved.alias("found"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"), F.array().cast("array<struct<kind:string,ref:string,tokens:bigint,at:int>>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        span = F.struct((acc["end"] + x["skip"]).alias("start"), x["inside"].alias("length"))
-        more = F.transform(x["found"], lambda a: F.struct(a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"), (a["at"] + acc["end"] + x["skip"]).alias("at")))
-        return F.struct((acc["end"] + x["n"]).alias("end"), F.when(x["role"] == learn_role, F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"), F.concat(acc["found"], more).alias("found"))
-
-    walked = grouped.withColumn("w", F.aggregate("t", zero, step))
-    tokens = F.aggregate("w.found", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    return walked.select("conv_id", F.array_join(F.transform("t", lambda x: x["turn_text"]), "").alias("formatted"), F.col("w.mask").alias("loss_mask"), F.col("w.found").alias("attachments"), tokens.alias("expanded_tokens"))
+    whole = grouped.select("conv_id", F.array_join(F.transform("t", lambda x: x["turn_text"]), "").alias("formatted"), F.array_compact(F.transform("t", lambda x: x["span"])).alias("loss_mask"), F.flatten(F.transform("t", lambda x: x["found"])).alias("attachments"))
+    return whole.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
 def read_back(formatted: Column) -> Column:
@@ -98,8 +98,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests, all read from ``formatted`` and ``loss_mask``."""
+    """Counts and digests, all read back from ``formatted`` and ``loss_mask``.
+
+    A span is read from its turn, whose text must be as long as the span; a mask that doesn't fit gives null digests.
+    """
     turns = read_back(F.col("formatted"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform("loss_mask", lambda m: unescape(F.col("formatted").substr(m["start"] + 1, m["length"]))), "")
+    body = lambda m: F.get("turns", m["turn"])["text"]
+    fits = F.forall("loss_mask", lambda m: F.length(escape(body(m))) == m["length"])
+    learnt = F.when(fits, F.array_join(F.transform("loss_mask", body), ""))
     return formatted.withColumn("turns", turns).withColumn("loss", learnt).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

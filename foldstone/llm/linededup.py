@@ -38,8 +38,9 @@ def boilerplate(pages: DataFrame, *, host_col: str, text_col: str, max_ratio: fl
     return common.where(F.col("count") > F.col("host_pages") * F.lit(max_ratio)).select("host", "line_hash", F.col("count").alias("pages"), "host_pages")
 
 
-def dedup_lines(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
-    """``pages`` with the boilerplate lines of each host cut from the text; adds ``n_lines`` and ``dropped_lines`` (or replaces them)."""
+def dedup_lines(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5, most_broadcast: int = 1_000_000, names: tuple[str, str] = ("n_lines", "dropped_lines")) -> DataFrame:
+    """``pages`` with the boilerplate lines of each host cut from the text; adds line counts under ``names`` (or replaces them)."""
+    n_lines, dropped = names
     bad = stored(boilerplate(pages, host_col=host_col, text_col=text_col, max_ratio=max_ratio, min_pages=min_pages), "boilerplate")
     sets = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_hash").alias("__bad"))
     if small_enough(bad, most_broadcast):
@@ -52,4 +53,4 @@ def dedup_lines(pages: DataFrame, *, host_col: str = "source", text_col: str = "
     kept = F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains("__bad", F.xxhash64(_bare(x))))
     joined = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept))
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.withColumn("n_lines", total).withColumn("dropped_lines", F.when(F.col("__kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long")).withColumn(text_col, F.when(F.col("dropped_lines") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))).drop("__host", "__bad", "__kept")
+    return joined.withColumn(n_lines, total).withColumn(dropped, F.when(F.col("__kept").isNull(), 0).otherwise(F.col(n_lines) - F.size("__kept")).cast("long")).withColumn(text_col, F.when(F.col(dropped) > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))).drop("__host", "__bad", "__kept")
