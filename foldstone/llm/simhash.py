@@ -41,6 +41,8 @@ from foldstone.llm.graph import components
 _CHUNK = 1 << 16
 _SAMPLE = 10_000  # texts whose shingles are counted for the order of the prefix join
 _MOST_COUNTED = 500_000
+_MOST_HELD = 4_000_000  # shingle hashes that a task keeps
+_MOST_BROADCAST = 2_000_000  # nodes of 24 bytes
 _HOT = 4096  # members of a bucket from which it is dealt to several
 
 
@@ -264,6 +266,8 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "ats", "blocks"])
 
+    if small_enough(classes, _MOST_BROADCAST):
+        classes = F.broadcast(classes)
     rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, ats array<int>, blocks array<int>").join(classes, "raw")
     rows = stored(rows.select("node", "root", "n", "keys", "ats", "blocks"), "prefixes")
     each = rows.select("node", "root", "n", F.explode(F.arrays_zip("keys", "ats", "blocks")).alias("z")).select(F.col("z.keys").alias("key"), "node", "root", "n", F.col("z.ats").alias("at"), F.col("z.blocks").alias("blocks"))
@@ -280,7 +284,7 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
     return _bucket_pairs(each.where("blocks = 1").drop("blocks").union(dealt), near)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 4, most_bits: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 3, most_bits: int = 16) -> DataFrame:
     """(doc_id, raw, component_id, keep): texts linked at Jaccard >= ``similarity`` of their ``width``-word shingle sets.
 
     Texts with the same words are one node; links are found between nodes only.  ``raw`` is a hash of id and text;
@@ -301,21 +305,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     all_ = stored(thin.mapInArrow(printed, "doc_id long, raw long, node long, fps array<bigint>"), "prints")
     reps = stored(all_.groupBy("node").agg(F.min("raw").alias("raw"), F.first("fps").alias("fps"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("least"), F.count("*").alias("rows")), "reps")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of the similarity, on whole sets; those of the last texts are kept, as a text comes in many pairs."""
+        held: dict[int, np.ndarray] = {}
+
+        def shingles(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in held:
+                while sum(map(len, held.values())) > _MOST_HELD:
+                    held.pop(next(iter(held)))
+                held[node] = np.unique(shingle_hashes(text.as_py(), width))
+            return held[node]
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["node", "s"])
+            ok = []
+            for a, b, of_a, of_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                x, y = shingles(a, of_a), shingles(b, of_b)
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                ok.append(shared >= similarity * (len(x) + len(y) - shared) and shared > 0)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
         """(u, v): links of at least the similarity that give all components of the pairs."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "raw"), "node")
-        if small_enough(wanted, 4_000_000):
+        if small_enough(wanted, _MOST_BROADCAST):
             wanted = F.broadcast(wanted)
-        held = stored(thin.join(wanted, "raw").select("node", "text").mapInArrow(sets, "node long, s array<bigint>").groupBy("node").agg(F.first("s").alias("s")), "sets")
+        # Texts are sent to their pairs, as they compress better than hashes of their shingles.
+        held = stored(thin.join(wanted, "raw").select("node", "text"), "texts")
 
         def confirmed(some: DataFrame) -> DataFrame:
-            both = some.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-            shared = F.size(F.array_intersect("sa", "sb"))
-            return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+            both = some.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+            return both.select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long").distinct()
 
         # First each text against its least partner; then only pairs that those links don't join already, so that a family
         # of thousands costs its members and not its pairs.
@@ -327,7 +346,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     close = links(stored(star_pairs(reps, radius=radius, most_bits=most_bits), "pairs"))
     roots = components(close).withColumnRenamed("node", "of")
-    classes = reps.join(roots, F.col("node") == F.col("of"), "left").select("raw", "node", F.coalesce("root", "node").alias("root"))
+    classes = stored(reps.join(roots, F.col("node") == F.col("of"), "left").select("raw", "node", F.coalesce("root", "node").alias("root")), "classes")
     far = links(stored(prefix_pairs(thin.select("raw", "text"), classes, width=width, similarity=similarity), "pairs"))
     linked = components(close.union(far)).withColumnRenamed("node", "of")
     of = reps.join(linked, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
