@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldstone.operators.splits import Fold
-from foldstone.sources.frame import ROW
+from foldstone.operators.splits import Fold, Refused, floors
+from foldstone.sources.frame import ROW, stored
 
-RESAMPLES, SEED = 1000, 0
+RESAMPLES, SEED, MOST_BLOCKS = 1000, 0, 5_000_000
 
 
 def folds_frame(spark, folds: list[Fold]) -> DataFrame:
@@ -64,15 +64,24 @@ def mean_blend(members: DataFrame, *keys: str) -> DataFrame:
 
 
 def rank_blend(oof: DataFrame, test: DataFrame) -> DataFrame:
-    """Each member's test prediction as its share of out-of-fold predictions at or below it, averaged over members."""
-    both = oof.select("member", "prediction", F.lit(None).cast("long").alias(ROW), F.lit(1).alias("o")).unionByName(test.select("member", "prediction", ROW, F.lit(0).alias("o")))
-    below = F.sum("o").over(W.partitionBy("member").orderBy("prediction").rangeBetween(W.unboundedPreceding, W.currentRow))
-    n = oof.groupBy("member").agg(F.count("*").alias("n"))
-    return both.withColumn("below", below).where("o = 0").join(F.broadcast(n), "member").groupBy(ROW).agg(F.avg(F.col("below") / F.col("n")).alias("prediction"))
+    """Each member's test prediction as its share of out-of-fold predictions at or below it, averaged over members.
+
+    Predictions of one value are counted first, and the running counts are taken within ranges of values and across
+    their ends, so no task sees all of a member.
+    """
+    marked = oof.select("member", "prediction", F.lit(1).alias("o")).union(test.select("member", "prediction", F.lit(0)))
+    values = marked.groupBy("member", "prediction").agg(F.sum("o").alias("o"))
+    ranged = stored(values.repartitionByRange("member", "prediction").withColumn("part", F.spark_partition_id()), "ranks")
+    ends = ranged.groupBy("member", "part").agg(F.sum("o").alias("s"))
+    before = ends.select("member", "part", F.coalesce(F.sum("s").over(W.partitionBy("member").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(W.partitionBy("member")).alias("n"))
+    within = F.sum("o").over(W.partitionBy("member", "part").orderBy("prediction").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranks = ranged.withColumn("within", within).join(F.broadcast(before), ["member", "part"])
+    share = ranks.select("member", "prediction", ((F.col("before") + F.col("within")) / F.nullif("n", F.lit(0))).alias("share"))
+    return test.join(share, ["member", "prediction"]).groupBy(ROW).agg(F.avg("share").alias("prediction"))
 
 
 def stratified_order(frame: DataFrame, y: str, row: str = ROW, seed: int = 0) -> DataFrame:
-    """Positions that spread each class evenly: by (rank in class + 1/2) / class size, then class."""
+    """Positions that spread each class evenly: by rank in class / class size (``share``), then class."""
     by = W.partitionBy(y).orderBy(F.xxhash64(F.lit(seed), row), row)
     size = frame.groupBy(y).agg(F.count("*").alias("__n")).withColumnRenamed(y, "__y")
     ranked = frame.withColumn("__r", F.row_number().over(by) - 1).join(F.broadcast(size), F.col(y).eqNullSafe(F.col("__y")))
@@ -82,32 +91,40 @@ def stratified_order(frame: DataFrame, y: str, row: str = ROW, seed: int = 0) ->
 @dataclass(frozen=True)
 class Paired:
     n: int
-    pooled_delta: float
-    se_iid: float
+    pooled_delta: float | None
+    se_iid: float | None
     se_block: float | None
-    fold_deltas: dict[int, float]
+    fold_deltas: dict[int, float | None]
 
 
 def paired(a: DataFrame, b: DataFrame, column: str, block_rows: int | None = None, resamples: int = RESAMPLES, seed: int = SEED) -> Paired:
-    """Row-paired difference of two series (fold, unit, column): mean, errors, fold means.
+    """Row-paired difference of two series (fold, unit, column): its sum, the sum's standard errors, and sums by fold.
 
-    The block bootstrap draws block numbers with numpy and counts how often each is drawn; only block sums, as many as
-    rows / block_rows, come to the driver.
+    The errors are sqrt(n) times the sample deviation, and by a block bootstrap the deviation of resampled sums; a null
+    value makes a sum null.  A resample is drawn at a time, so the driver holds one row of draws and the block sums, of
+    which there may be ``MOST_BLOCKS``.
     """
-    both = a.select("fold", "unit", F.col(column).alias("x")).join(b.select("fold", "unit", F.col(column).alias("y")), ["fold", "unit"], "full")
+    mark = F.lit(True)
+    both = a.select("fold", "unit", F.col(column).alias("x"), mark.alias("in_a")).join(b.select("fold", "unit", F.col(column).alias("y"), mark.alias("in_b")), ["fold", "unit"], "full")
     d = both.withColumn("d", F.col("x") - F.col("y"))
-    lost = d.where("x is null or y is null").limit(1).count()
-    if lost:
-        raise ValueError("the series cover other rows")
-    total = d.agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s")).first()
-    by_fold = {r["fold"]: r["m"] for r in d.groupBy("fold").agg(F.avg("d").alias("m")).collect()}
+    total = d.agg(F.count("*").alias("n"), F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("lost"), F.count("d").alias("known"), F.sum("d").alias("m"), F.stddev_samp("d").alias("s")).first()
+    if total["lost"]:
+        raise Refused("the series cover other rows")
+    if not total["n"]:
+        raise Refused("the series have no rows")
+    whole = total["known"] == total["n"]
+    by_fold = {r["fold"]: r["m"] if r["k"] == r["n"] else None for r in d.groupBy("fold").agg(F.sum("d").alias("m"), F.count("d").alias("k"), F.count("*").alias("n")).orderBy("fold").collect()}
     se_block = None
-    if block_rows:
-        rows = block_sums(d, block_rows).orderBy("block").collect()
-        sums = np.array([r["s"] for r in rows])
-        draws = np.random.default_rng(seed).integers(0, len(sums), (resamples, len(sums)))
-        se_block = float(sums[draws].sum(axis=1).std(ddof=1) / total["n"])
-    return Paired(total["n"], total["m"], (total["s"] or 0.0) / math.sqrt(total["n"]), se_block, by_fold)
+    if block_rows is not None and whole:
+        floors(block_rows=(block_rows, 1))
+        blocks = -(-total["n"] // block_rows)
+        if blocks > MOST_BLOCKS:
+            raise Refused(f"{blocks} blocks, at most {MOST_BLOCKS}: take longer ones")
+        sums = np.array([r["s"] for r in block_sums(d, block_rows).orderBy("block").collect()])
+        rng = np.random.default_rng(seed)
+        se_block = float(np.std([sums[rng.integers(0, len(sums), len(sums))].sum() for _ in range(resamples)], ddof=1))
+    error = math.sqrt(total["n"]) * total["s"] if whole and total["s"] is not None else None
+    return Paired(total["n"], total["m"] if whole else None, error, se_block, by_fold)
 
 
 def block_sums(d: DataFrame, block_rows: int) -> DataFrame:
@@ -117,9 +134,22 @@ def block_sums(d: DataFrame, block_rows: int) -> DataFrame:
     return d.join(F.broadcast(base), "fold").groupBy(F.floor((F.col("base") + F.col("unit")) / block_rows).alias("block")).agg(F.sum("d").alias("s"))
 
 
-def paired_sets(values: DataFrame, ours: list[str], theirs: list[str]) -> DataFrame:
-    """Set means by fold (pipeline, fold, value), paired: n_folds, delta_mean, delta_std, t."""
-    side = F.when(F.col("pipeline").isin(ours), "a").when(F.col("pipeline").isin(theirs), "b")
-    means = values.withColumn("side", side).where("side is not null").groupBy("fold").pivot("side", ["a", "b"]).agg(F.avg("value"))
-    out = means.select((F.col("a") - F.col("b")).alias("d")).agg(F.count("d").alias("n_folds"), F.avg("d").alias("delta_mean"), F.stddev_samp("d").alias("delta_std"))
+def paired_sets(values: DataFrame, ours: list[str], theirs: list[str], direction: str | None = None) -> DataFrame:
+    """Set means by fold (pipeline, fold, value), paired: n_folds, delta_mean, delta_std, t, wins, fold_deltas in order of fold.
+
+    Refused: an empty set, a pipeline without values, and pipelines whose values are not of the same folds.
+    """
+    if not ours or not theirs:
+        raise Refused("a comparison needs a pipeline on each side")
+    mine = values.where(F.col("value").isNotNull() & F.col("pipeline").isin([*ours, *theirs]))
+    folds = {r["pipeline"]: sorted(r["f"]) for r in mine.groupBy("pipeline").agg(F.collect_set("fold").alias("f")).collect()}
+    if missing := sorted(set([*ours, *theirs]) - set(folds)):
+        raise Refused(f"no values of {missing}")
+    if len({tuple(f) for f in folds.values()}) > 1:
+        raise Refused(f"the pipelines' folds differ: {folds}")
+    side = F.when(F.col("pipeline").isin(ours), "a").otherwise("b")
+    means = mine.withColumn("side", side).groupBy("fold").pivot("side", ["a", "b"]).agg(F.avg("value"))
+    d = means.select("fold", (F.col("a") - F.col("b")).alias("d"))
+    won = F.lit(None).cast("long") if direction not in ("max", "min") else F.count_if(F.col("d") > 0 if direction == "max" else F.col("d") < 0)
+    out = d.agg(F.count("d").alias("n_folds"), F.avg("d").alias("delta_mean"), F.stddev_samp("d").alias("delta_std"), won.alias("wins"), F.transform(F.array_sort(F.collect_list(F.struct("fold", "d"))), lambda x: x["d"]).alias("fold_deltas"))
     return out.withColumn("t", F.col("delta_mean") * F.sqrt("n_folds") / F.nullif(F.col("delta_std"), F.lit(0.0)))

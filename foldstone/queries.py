@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,12 @@ from foldstone.functions.identity import chunk_digests
 from foldstone.operators import panel, scoring, splits, visibility
 from foldstone.operators.clock import FrameClock
 from foldstone.plans import views
+from foldstone.plans.experiment import Evaluation, Pipeline, Scorer
+from foldstone.plans.run import run
 from foldstone.sources import frame as fr
+from foldstone.sources.dataset import record
 from foldstone.sources.frame import ROW
+from foldstone.sources.log import EventLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +43,7 @@ def _events(spark, d) -> DataFrame:
 
 def _orders(spark, d) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").alias("ts"))
-    return fr.number_rows(o, ["ts", "o_orderkey"], F.to_date("ts"))
+    return fr.number_rows(o, ["ts", "o_orderkey"])
 
 
 def _fold_rows(spark, folds: list[splits.Fold]) -> DataFrame:
@@ -73,7 +78,7 @@ def index_of_date(spark, d):
 
 @query(f"{_ORDERS} SELECT CAST(ts AS DATE) AS day, min(row_id) AS first_row, count(*) AS n FROM o GROUP BY 1")
 def date_starts(spark, d):
-    return _orders(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.min(ROW).alias("first_row"), F.count("*").alias("n"))
+    return fr.date_starts(_orders(spark, d))
 
 
 @query(f"{_ORDERS} SELECT ts, min(row_id) AS first_row, max(row_id) + 1 AS next_row, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS day_idx FROM o GROUP BY ts")
@@ -88,7 +93,33 @@ def clock_check(spark, d):
 
 @query(f"{_ORDERS} SELECT CAST(min(ts) AS DATE) AS first_day, CAST(CAST(max(ts) AS DATE) + INTERVAL 1 DAY AS DATE) AS after_last FROM o")
 def date_span(spark, d):
-    return _orders(spark, d).agg(F.to_date(F.min("ts")).alias("first_day"), F.date_add(F.to_date(F.max("ts")), 1).alias("after_last"))
+    return fr.date_span(_orders(spark, d))
+
+
+@query(f"{_EVENTS} SELECT row_id, CAST(user_id AS DOUBLE) AS a, value AS b FROM e WHERE row_id < 500")
+def matrix_rows(spark, d):
+    """Asked for 500 rows, as a segment is what the operator takes."""
+    m = fr.matrix(_events(spark, d), ["user_id", "value"], [(0, 500)])
+    return m.select(ROW, F.col("values")[0].alias("a"), F.col("values")[1].alias("b"))
+
+
+@query(f"{_ORDERS}, s AS (SELECT ts, min(row_id) AS r FROM o, n WHERE row_id >= n // 4 GROUP BY ts), k AS (SELECT r, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS m FROM s) SELECT r AS row_id FROM k WHERE k = m // 2")
+def middle_stamp(spark, d):
+    o = fr.stored(_orders(spark, d), "orders")
+    n = o.count()
+    return fr.middle_stamp(o, n // 4, n)
+
+
+@query(f"{_ORDERS} SELECT CAST(max(ts) AS DATE) AS day FROM o")
+def row_date_last(spark, d):
+    return fr.row_date(_orders(spark, d), -1)
+
+
+@query(f"{_EVENTS} SELECT row_id, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY row_id) AS prev FROM e")
+def feature_attach(spark, d):
+    e = fr.stored(_events(spark, d), "events")
+    lagged = e.select(ROW, F.lag("value").over(W.partitionBy("user_id").orderBy(ROW)).alias("prev"))
+    return fr.attach(e.select(ROW, "event_id"), lagged, ["prev"])
 
 
 # ---- splits -------------------------------------------------------------------------------------------------------
@@ -160,6 +191,35 @@ def calendar_day_walk(spark, d):
     return _fold_rows(spark, split.folds(FrameClock(_events(spark, d))))
 
 
+@query(f"{_ORDERS}, c AS (SELECT n - n // 5 AS row FROM n), a AS (SELECT min(p.row_id) AS cut FROM o p WHERE p.ts = (SELECT q.ts FROM o q, c WHERE q.row_id = c.row)), x AS (SELECT cut, (SELECT min(row_id) FROM o WHERE ts = (SELECT ts FROM o, a WHERE row_id = a.cut - 30)) AS train_hi FROM a) SELECT 0::BIGINT AS train_lo, train_hi, cut AS valid_lo, n AS valid_hi FROM x, n")
+def inner_split(spark, d):
+    clock = FrameClock(_orders(spark, d))
+    ((lo, hi),), (a, b) = splits.inner_split(clock, [(0, clock.n)], clock.n // 5, embargo_rows=30)
+    return spark.createDataFrame([(lo, hi, a, b)], "train_lo long, train_hi long, valid_lo long, valid_hi long")
+
+
+@query(f"""{_ORDERS}, s AS (SELECT ts, min(row_id) AS first FROM o GROUP BY ts),
+b AS (SELECT i, CASE WHEN i = 0 THEN 0 WHEN i = 5 THEN n ELSE (SELECT first FROM s WHERE s.ts = (SELECT ts FROM o WHERE row_id = CAST(round_even(i * n / 5.0, 0) AS BIGINT))) END AS b FROM range(6) r(i), n),
+f AS (SELECT x.i AS fold, x.b AS lo, y.b AS hi FROM b x JOIN b y ON y.i = x.i + 1),
+t AS (SELECT fold, lo, hi, 0 AS a, lo AS z FROM f UNION ALL SELECT fold, lo, hi, hi, n FROM f, n)
+SELECT CAST(fold AS BIGINT) AS fold, 'oof ' || fold AS label, row_number() OVER (PARTITION BY fold ORDER BY a) - 1 AS segment, CAST(a AS BIGINT) AS train_lo, CAST(z AS BIGINT) AS train_hi, CAST(lo AS BIGINT) AS test_lo, CAST(hi AS BIGINT) AS test_hi FROM t WHERE a < z""")
+def oof_blocks(spark, d):
+    clock = FrameClock(_orders(spark, d))
+    return _fold_rows(spark, splits.oof_folds(clock, [(0, clock.n)]))
+
+
+@query(f"""{_EVENTS}, u AS (SELECT user_id AS g, ts, event_id, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS row_id FROM events),
+s AS (SELECT g, min(row_id) AS first FROM u GROUP BY g),
+b AS (SELECT i, CASE WHEN i = 0 THEN 0 WHEN i = 3 THEN n ELSE (SELECT first FROM s WHERE s.g = (SELECT g FROM u WHERE row_id = CAST(round_even(i * n / 3.0, 0) AS BIGINT))) END AS b FROM range(4) r(i), n),
+f AS (SELECT x.i AS fold, x.b AS lo, y.b AS hi FROM b x JOIN b y ON y.i = x.i + 1),
+t AS (SELECT fold, lo, hi, 0 AS a, lo AS z FROM f UNION ALL SELECT fold, lo, hi, hi, n FROM f, n)
+SELECT CAST(fold AS BIGINT) AS fold, 'block ' || fold AS label, row_number() OVER (PARTITION BY fold ORDER BY a) - 1 AS segment, CAST(a AS BIGINT) AS train_lo, CAST(z AS BIGINT) AS train_hi, CAST(lo AS BIGINT) AS test_lo, CAST(hi AS BIGINT) AS test_hi FROM t WHERE a < z""")
+def blocked_kfold_grouped(spark, d):
+    rows = fr.number_rows(spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").alias("at"), "event_id"), ["user_id", "at", "event_id"])
+    stamped = rows.select(ROW, "user_id", F.timestamp_add("MILLISECOND", F.col(ROW), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
+    return _fold_rows(spark, splits.BlockedKFold(3, group="user_id").folds(FrameClock(stamped, group="user_id")))
+
+
 # ---- visibility ---------------------------------------------------------------------------------------------------
 
 _AT = "a AS (SELECT ts AS at_ts FROM e, n WHERE row_id = n // 2)"
@@ -327,10 +387,13 @@ def score_by_fold(spark, d):
     return scoring.score_folds(s, "se").select(F.col("fold").cast("long"), F.round("value", 4).alias("value"), "n")
 
 
-@query(f"{_MEAN} SELECT count(*) AS n, round(avg(x - y), 6) AS delta, round(stddev_samp(x - y) / sqrt(count(*)), 8) AS se FROM (SELECT (value - mean) * (value - mean) AS x, (value - user_id) * (value - user_id) AS y FROM t)")
+@query(f"{_MEAN}, d AS (SELECT fold, (value - mean) * (value - mean) - (value - user_id) * (value - user_id) AS d FROM t) SELECT count(*) AS n, round(sum(d), 3) AS pooled_delta, round(sqrt(count(*)) * stddev_samp(d), 4) AS se_iid, (SELECT string_agg(CAST(CAST(round(s) AS BIGINT) AS VARCHAR), ',' ORDER BY fold) FROM (SELECT fold, sum(d) AS s FROM d GROUP BY fold)) AS fold_deltas FROM d")
 def paired_rows(spark, d):
-    p = _predicted(spark, d).withColumn("d", (F.col("value") - F.col("mean")) ** 2 - (F.col("value") - F.col("user_id")) ** 2)
-    return p.agg(F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("delta"), F.round(F.stddev_samp("d") / F.sqrt(F.count("d")), 8).alias("se"))
+    p = fr.stored(_predicted(spark, d).withColumn("unit", F.col(ROW)), "pairs")
+    a = p.select("fold", "unit", ((F.col("value") - F.col("mean")) ** 2).alias("x"))
+    b = p.select("fold", "unit", ((F.col("value") - F.col("user_id")) ** 2).alias("x"))
+    got = scoring.paired(a, b, "x")
+    return spark.createDataFrame([(got.n, round(got.pooled_delta, 3), round(got.se_iid, 4), ",".join(str(round(v)) for v in got.fold_deltas.values()))], "n long, pooled_delta double, se_iid double, fold_deltas string")
 
 
 @query(f"{_MEAN} SELECT (fold * (SELECT n // 5 FROM n) + row_id - (SELECT min(row_id) FROM t u WHERE u.fold = t.fold)) // 64 AS block, round(sum(value - mean), 4) AS s FROM t GROUP BY 1")
@@ -341,12 +404,12 @@ def block_sums(spark, d):
     return scoring.block_sums(units, 64).select("block", F.round("s", 4).alias("s"))
 
 
-@query(f"{_MEAN}, v AS (SELECT fold, avg((value - mean) * (value - mean)) AS a1, avg(abs(value - mean)) AS a2, avg(abs(value - user_id)) AS b1 FROM t GROUP BY fold), x AS (SELECT (a1 + a2) / 2 - b1 AS d FROM v) SELECT count(d) AS n_folds, round(avg(d), 6) AS delta_mean, round(stddev_samp(d), 6) AS delta_std, round(avg(d) * sqrt(count(d)) / nullif(stddev_samp(d), 0), 6) AS t FROM x")
+@query(f"{_MEAN}, v AS (SELECT fold, avg((value - mean) * (value - mean)) AS a1, avg(abs(value - mean)) AS a2, avg(abs(value - user_id)) AS b1 FROM t GROUP BY fold), x AS (SELECT fold, (a1 + a2) / 2 - b1 AS d FROM v) SELECT count(d) AS n_folds, round(avg(d), 6) AS delta_mean, round(stddev_samp(d), 6) AS delta_std, round(avg(d) * sqrt(count(d)) / nullif(stddev_samp(d), 0), 6) AS t, count(*) FILTER (WHERE d < 0) AS wins, string_agg(CAST(round(d, 3) AS VARCHAR), ',' ORDER BY fold) AS fold_deltas FROM x")
 def paired_sets(spark, d):
     p = _predicted(spark, d).groupBy("fold").agg(F.avg((F.col("value") - F.col("mean")) ** 2).alias("a1"), F.avg(F.abs(F.col("value") - F.col("mean"))).alias("a2"), F.avg(F.abs(F.col("value") - F.col("user_id"))).alias("b1"))
     v = p.unpivot(["fold"], ["a1", "a2", "b1"], "pipeline", "value")
-    out = scoring.paired_sets(v, ["a1", "a2"], ["b1"])
-    return out.select("n_folds", *[F.round(c, 6).alias(c) for c in ("delta_mean", "delta_std", "t")])
+    out = scoring.paired_sets(v, ["a1", "a2"], ["b1"], "min")
+    return out.select("n_folds", *[F.round(c, 6).alias(c) for c in ("delta_mean", "delta_std", "t")], "wins", F.array_join(F.transform("fold_deltas", lambda x: F.round(x, 3).cast("string")), ",").alias("fold_deltas"))
 
 
 @query(f"{_ORDERS} SELECT row_id, sha256('v' || length(o_orderkey::VARCHAR) || ':' || o_orderkey || 'v' || length(o_orderstatus) || ':' || o_orderstatus) AS h FROM o")
@@ -366,6 +429,43 @@ def class_counts(spark, d):
     return j.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
 
+# ---- runs ---------------------------------------------------------------------------------------------------------
+
+
+def run_fit_mean(view, params):
+    return view.frame.agg(F.avg("value")).first()[0]
+
+
+def run_predict_mean(model, frame, rows):
+    return frame.where(F.col(ROW) >= rows[0]).select(ROW, F.lit(model).alias("prediction"))
+
+
+def run_series(rows, params):
+    return rows.select(F.col(ROW).alias("unit"), ((F.col("value") - F.col("prediction")) ** 2).alias("se"))
+
+
+def run_metrics():
+    return {"mse": F.avg("se")}
+
+
+@query(f"""{_EVENTS}, b AS (SELECT i, CAST(round_even(i * n / 3.0, 0) AS BIGINT) AS b FROM range(4) r(i), n), f AS (SELECT x.i AS fold, x.b AS lo, y.b AS hi FROM b x JOIN b y ON y.i = x.i + 1),
+m AS (SELECT fold, lo, hi, avg(value) AS mean FROM f JOIN e ON row_id < lo OR row_id >= hi GROUP BY ALL), s AS (SELECT fold, avg((value - mean) * (value - mean)) AS v FROM m JOIN e ON row_id >= lo AND row_id < hi GROUP BY fold)
+SELECT CAST(fold AS VARCHAR) AS fold, 'block ' || fold AS label, 'mse' AS metric, round(v, 4) AS value, 3::BIGINT AS fits, 3::BIGINT AS predictions, 0::BIGINT AS computed_again FROM s""")
+def run_fold_scores(spark, d):
+    """Records the events, runs a pipeline over three blocks twice, and reads its scores back from the log."""
+    with tempfile.TemporaryDirectory() as root:
+        log = EventLog(root, "query")
+        events = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "user_id", "value")
+        own = record(log, events, order=["ts", "event_id"], source="events", targets=["value"])
+        mean = Pipeline("mean", run_fit_mean, run_predict_mean)
+        e = Evaluation(own, splits.BlockedKFold(3), Scorer(run_series, run_metrics, {"mse": "min"}), "kfold")
+        first, again = run(spark, log, e, [mean], probe=False), run(spark, log, e, [mean], probe=False)
+        views.register(spark, log.events(spark))
+        got = spark.table("score_fold").select("fold", "label", "metric", F.round("value", 4).alias("value")).collect()
+    rows = [(*r, first.fits, first.predictions, again.computed) for r in got]
+    return spark.createDataFrame(rows, "fold string, label string, metric string, value double, fits long, predictions long, computed_again long")
+
+
 # ---- the log's views ----------------------------------------------------------------------------------------------
 
 #: A log made from the orders, the same text for both engines: two datasets, three pipelines, two evaluations, scores
@@ -404,7 +504,7 @@ SELECT CAST(seq AS BIGINT) AS seq, id, type, stream, key, CAST(seq AS DOUBLE) AS
 
 def _log(spark, d) -> None:
     spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
-    views.register(spark, spark.sql(_LOG.replace("{s}", "STRING")))
+    views.register(spark, fr.stored(spark.sql(_LOG.replace("{s}", "STRING")).coalesce(1), "log"))
 
 
 _J = lambda p, of="payload": f"json_extract_string({of}, '$.{p}')"
@@ -508,3 +608,15 @@ def event_prediction(spark, d): ...
 
 @view("SELECT * FROM (VALUES ('sc0', 'f0'), ('sc1', 'f1'), ('sc2', 'f0'), ('sc2', 'f1'), ('sc2', 'f2'), ('sc9', 'f1')) t(score, fit)", "SELECT score, fit FROM score_fit")
 def score_fit(spark, d): ...
+
+
+@view("SELECT id, name FROM event_pipeline")
+def event_pipeline(spark, d): ...
+
+
+@view("SELECT id, name, dataset FROM event_evaluation")
+def event_evaluation(spark, d): ...
+
+
+@view(f"SELECT s.id, s.stream AS evaluation, v.dataset, {_J('pipeline', 's.payload')} AS pipeline, {_J('run', 's.payload')} AS run FROM event s LEFT JOIN event_evaluation v ON v.id = s.stream WHERE s.type = 'score_recorded'", "SELECT id, evaluation, dataset, pipeline, run FROM event_score")
+def event_score(spark, d): ...

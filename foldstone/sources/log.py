@@ -11,6 +11,7 @@ import re
 import socket
 import time
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +56,7 @@ class EventLog:
         if type not in TYPES:
             raise ValueError(f"no such event type: {type}")
         id = id or ulid()
-        path = self.root / "events" / f"{id}.json"
+        path = self.root / "events" / f"{quote(id, safe='')}.json"
         if path.exists():
             return False
         if type == "score_recorded" and payload.get("sealed"):
@@ -67,17 +68,54 @@ class EventLog:
             f.seek(0)
             seq = int(f.read() or 0) + 1
             event = {"seq": seq, "id": id, "type": type, "stream": stream, "key": key, "at": time.time(), "actor": self.actor, "host": socket.gethostname(), "payload": canonical(_finite(payload))}
-            if not self._create(path, (json.dumps(event) + "\n").encode()):
-                return False
             f.truncate(0)
             f.write(str(seq))
-        return True
+            f.flush()
+            os.fsync(f.fileno())  # before the event: a crash leaves a gap, never a number twice
+            return self._create(path, (json.dumps(event) + "\n").encode())
 
-    def note(self, text: str, about: list[str], tag: str = "") -> bool:
+    def note(self, text: str, about: list[str], tag: str = "", strict: bool = False) -> bool:
         if not text.strip() or not re.fullmatch(r"[a-z0-9_-]*", tag):
             raise ValueError("a note needs a text, and a tag of a-z, 0-9, _ and -")
+        if unknown := sorted(set(about) - {x for e in self.scan() for x in (e["id"], e["key"])}) if strict else []:
+            raise ValueError(f"a note is about what the log has, not {unknown}")
         return self.append("note_recorded", "", tag, {"text": text, "about": about, "tag": tag})
 
+    def scan(self, type: str | None = None, *, stream: str | None = None, key: str | None = None) -> list[dict]:
+        """The control plane's own look at the log: events in order of seq, with their payload read."""
+        got = [json.loads(p.read_text()) for p in (self.root / "events").glob("*.json") if not p.name.startswith(".")]
+        fits = [e for e in got if (type is None or e["type"] == type) and (stream is None or e["stream"] == stream) and (key is None or e["key"] == key)]
+        return [e | {"payload": json.loads(e["payload"])} for e in sorted(fits, key=lambda e: e["seq"])]
+
+    def latest(self, type: str, *, stream: str | None = None, key: str | None = None) -> dict | None:
+        found = self.scan(type, stream=stream, key=key)
+        return found[-1] if found else None
+
+    def event(self, id: str) -> dict:
+        """The event of this id; one that isn't there is an error."""
+        path = self.root / "events" / f"{quote(id, safe='')}.json"
+        if not path.exists():
+            raise KeyError(f"no event {id}")
+        e = json.loads(path.read_text())
+        return e | {"payload": json.loads(e["payload"])}
+
+    def has(self, id: str) -> bool:
+        return (self.root / "events" / f"{quote(id, safe='')}.json").exists()
+
+    def table(self, kind: str, id: str) -> str:
+        """Where the log keeps a table."""
+        return f"file://{self.root.resolve()}/{kind}/{id}"
+
+    def has_table(self, path: str) -> bool:
+        return Path(path.removeprefix("file://"), "_SUCCESS").exists()
+
+    def sql(self, spark: SparkSession, query: str, args: list | dict | None = None) -> list[dict]:
+        """Rows of a query over the log's views, with parameters."""
+        from foldstone.plans import views
+
+        views.register(spark, self.events(spark))
+        return [r.asDict() for r in spark.sql(query, args).collect()]
+
     def put_blob(self, data: bytes) -> str:
         sha = hashlib.sha256(data).hexdigest()
         self._create(self.root / "blobs/sha256" / sha, data)

@@ -4,6 +4,7 @@ import datetime as dt
 import threading
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,11 +82,23 @@ def test_paired(spark):
     a = spark.createDataFrame([(i // 50, i % 50, float(i % 7)) for i in range(200)], "fold int, unit int, v double")
     b = a.withColumn("v", F.col("v") - 1.0)
     p = scoring.paired(a, b, "v", block_rows=10)
-    assert p.n == 200 and p.pooled_delta == pytest.approx(1.0) and p.se_iid == pytest.approx(0.0) and p.se_block == pytest.approx(0.0) and len(p.fold_deltas) == 4
+    assert p.n == 200 and p.pooled_delta == pytest.approx(200.0) and p.se_iid == pytest.approx(0.0) and p.se_block == pytest.approx(0.0) and len(p.fold_deltas) == 4
     with pytest.raises(ValueError):
         scoring.paired(a, b.where("fold < 3"), "v")
 
 
+def test_paired_is_of_sums(spark):
+    x = np.random.default_rng(3).normal(1.5, 1.0, 200)
+    a = spark.createDataFrame([(i // 50, i % 50, float(v)) for i, v in enumerate(x)], "fold int, unit int, v double")
+    p = scoring.paired(a, a.withColumn("v", F.lit(0.0)), "v", block_rows=15)
+    sums = np.add.reduceat(x, np.arange(0, 200, 15))
+    draws = np.random.default_rng(0).integers(0, len(sums), (1000, len(sums)))
+    assert p.pooled_delta == pytest.approx(x.sum()) and p.se_iid == pytest.approx(np.sqrt(200) * x.std(ddof=1)) and p.se_block == pytest.approx(sums[draws].sum(axis=1).std(ddof=1))
+    assert list(p.fold_deltas.values()) == pytest.approx(np.add.reduceat(x, [0, 50, 100, 150]).tolist())
+    holed = a.withColumn("v", F.when(F.col("unit") != 3, F.col("v")))
+    assert scoring.paired(holed, a, "v").pooled_delta is None
+
+
 def test_identity(spark):
     f = spark.createDataFrame([(0, None), (1, ""), (2, "x")], "row_id long, c string")
     g = spark.createDataFrame([(0, ""), (1, ""), (2, "x")], "row_id long, c string")
@@ -124,6 +137,8 @@ def test_null_fold_and_offset(spark):
     r = v.agg(F.count("value").alias("n"), F.stddev_samp("value").alias("s")).first()
     assert r["n"] == 3 and r["s"] == pytest.approx(4.0414518843)
     both = v.union(v.withColumn("pipeline", F.lit("b")).withColumn("value", F.lit(0.0)))
-    out = scoring.paired_sets(both, ["a"], ["b"]).first()
-    assert out["n_folds"] == 3
+    with pytest.raises(ValueError, match="folds differ"):
+        scoring.paired_sets(both, ["a"], ["b"])
+    out = scoring.paired_sets(both.where("fold <> 1"), ["a"], ["b"], "max").first()
+    assert out["n_folds"] == 3 and out["wins"] == 3 and out["fold_deltas"] == [1.0, 4.0, 9.0]
     assert scoring.paired_sets(both.where("fold = 0"), ["a"], ["b"]).first()["t"] is None
