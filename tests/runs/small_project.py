@@ -10,7 +10,7 @@ from foldstone.sources.dataset import record
 
 def ingest(spark, log, rows="600"):
     df = spark.range(int(rows)).selectExpr("id AS k", "CAST(pmod(xxhash64(id), 1000) AS DOUBLE) / 1000 AS x", "0.5 * pmod(xxhash64(id), 1000) / 1000 + CAST(pmod(xxhash64(id, 1), 1000) AS DOUBLE) / 1000 AS y", "timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP_NTZ '2025-01-01 00:00:00') AS ts")
-    return record(log, df, order=["ts", "k"], source="lab", targets=["y"])
+    return record(log, df, order=["ts", "k"], source="small", targets=["y"])
 
 
 def fit_slope(view, params):

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-import lab_project as lab
+import small_project as small
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from foldstone.sources.log import EventLog
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
     log = EventLog(str(tmp_path_factory.mktemp("ledger")), "ann")
-    lab.ingest(spark, log)
+    small.ingest(spark, log)
     return log
 
 
@@ -32,33 +32,33 @@ def counts(r):
 
 def test_work_counts(spark, log):
     """A run computes what the log lacks; a rerun writes nothing; a dry run counts the same and writes nothing."""
-    (e,) = lab.evaluations(ds.resolve(log))
+    (e,) = small.evaluations(ds.resolve(log))
     before = len(log.scan())
-    assert counts(run(spark, log, e, lab.PIPELINES, dry=True)) == (6, 6, 2) and len(log.scan()) == before
-    first = run(spark, log, e, lab.PIPELINES)
+    assert counts(run(spark, log, e, small.PIPELINES, dry=True)) == (6, 6, 2) and len(log.scan()) == before
+    first = run(spark, log, e, small.PIPELINES)
     assert counts(first) == (6, 6, 2) and not first.failed
     before = len(log.scan())
-    again = run(spark, log, e, lab.PIPELINES)
+    again = run(spark, log, e, small.PIPELINES)
     assert counts(again) == (0, 0, 0) and (again.fits_reused, again.predictions_reused, again.scores_reused) == (6, 6, 2) and len(log.scan()) == before
-    clipped = Pipeline("clipped", lab.fit_slope, lab.predict_slope, postprocess=lab.clip, postprocess_config={"most": 0.4})
+    clipped = Pipeline("clipped", small.fit_slope, small.predict_slope, postprocess=small.clip, postprocess_config={"most": 0.4})
     r = run(spark, log, e, [clipped], probe=False)
     assert counts(r) == (0, 3, 1) and r.fits_reused == 3 and r.predictions_reused == 3
-    blend = run(spark, log, e, [*lab.PIPELINES, lab.BLEND], probe=False)
+    blend = run(spark, log, e, [*small.PIPELINES, small.BLEND], probe=False)
     assert counts(blend) == (0, 3, 1)
-    found = analytics.predictions(spark, log, e.id, lab.BLEND.id)
+    found = analytics.predictions(spark, log, e.id, small.BLEND.id)
     assert found.values.count() == 600 and found.ranges == ((0, 200), (200, 400), (400, 600))
 
 
 def test_learnt_blend(spark, log):
     """A fold takes the fit, its two members' and those of their five out-of-fold blocks."""
-    e = Evaluation(ds.resolve(log), Holdout(0.5), Scorer(lab.series, lab.metrics, {"mse": "min"}), "half")
-    learnt = run(spark, log, e, [lab.LEARNT], probe=False)
+    e = Evaluation(ds.resolve(log), Holdout(0.5), Scorer(small.series, small.metrics, {"mse": "min"}), "half")
+    learnt = run(spark, log, e, [small.LEARNT], probe=False)
     assert not learnt.failed and counts(learnt) == (1 + 2 + 2 * 5, 1 + 2 + 2 * 5, 1)
 
 
 def test_questions_to_the_log(spark, log):
-    (e,) = lab.evaluations(ds.resolve(log))
-    run(spark, log, e, lab.PIPELINES, probe=False)
+    (e,) = small.evaluations(ds.resolve(log))
+    run(spark, log, e, small.PIPELINES, probe=False)
     views.register(spark, log.events(spark))
     board = {r["name"]: r for r in spark.sql("select * from board").collect()}
     assert board["slope"]["rank"] >= 1 and board["slope"]["n_folds"] == 3
@@ -67,41 +67,41 @@ def test_questions_to_the_log(spark, log):
     x, y = ({r["unit"]: r["se"] for r in spark.read.parquet(log.table("series", s)).collect()} for s in (a, b))
     d = np.array([x[k] - y[k] for k in range(600)])
     assert p.pooled_delta == pytest.approx(d.sum()) and p.se_iid == pytest.approx(np.sqrt(600) * d.std(ddof=1)) and len(p.fold_deltas) == 3
-    sets = analytics.paired_sets(spark, log, e.id, "mse", [lab.SLOPE.id], [lab.MEAN.id]).first()
+    sets = analytics.paired_sets(spark, log, e.id, "mse", [small.SLOPE.id], [small.MEAN.id]).first()
     assert sets["n_folds"] == 3 and sets["fold_deltas"] == pytest.approx((d.reshape(3, 200).mean(axis=1)).tolist())
     assert {r["fits"] for r in analytics.fit_costs(spark).where(F.col("score").isin(a, b)).collect()} == {3}
     with pytest.raises(Refused, match="no values"):
-        analytics.paired_sets(spark, log, e.id, "mse", ["nobody"], [lab.MEAN.id])
+        analytics.paired_sets(spark, log, e.id, "mse", ["nobody"], [small.MEAN.id])
     assert analytics.covered([(0, 5), (5, 9), (12, 14)]) == [(0, 9), (12, 14)]
     with pytest.raises(Refused):
         analytics.covered([(5, 9), (0, 5)])
-    assert log.sql(spark, "select name from event_pipeline where id = :id", {"id": lab.SLOPE.id}) == [{"name": "slope"}]
+    assert log.sql(spark, "select name from event_pipeline where id = :id", {"id": small.SLOPE.id}) == [{"name": "slope"}]
     assert why(log, "fit_computed", {"label": "block 0", "train": "other"}) == ["train"]
 
 
 def test_failures_and_leaks(spark, log):
-    (e,) = lab.evaluations(ds.resolve(log))
-    broken, leaky = Pipeline("broken", lab.fit_broken, lab.predict_mean), Pipeline("leaky", lab.fit_mean, lab.predict_leak)
-    r = run(spark, log, e, [broken, leaky, lab.MEAN])
+    (e,) = small.evaluations(ds.resolve(log))
+    broken, leaky = Pipeline("broken", small.fit_broken, small.predict_mean), Pipeline("leaky", small.fit_mean, small.predict_leak)
+    r = run(spark, log, e, [broken, leaky, small.MEAN])
     assert set(r.failed) == {"broken", "leaky"} and "read past row" in r.failed["leaky"] and r.scores_reused == 1
     assert {x["key"] for x in log.scan("pipeline_failed")} == {broken.id, leaky.id}
-    good, bad = Pipeline("lag", lab.fit_mean, lab.predict_mean, features=(lab.lagged,)), Pipeline("lead", lab.fit_mean, lab.predict_mean, features=(lab.ahead,))
+    good, bad = Pipeline("lag", small.fit_mean, small.predict_mean, features=(small.lagged,)), Pipeline("lead", small.fit_mean, small.predict_mean, features=(small.ahead,))
     r = run(spark, log, e, [good, bad])
     assert set(r.failed) == {"lead"} and "read past row" in r.failed["lead"]
     kept = log.latest("features_computed")["payload"]
     assert kept["columns"] == ["before"] and 5 <= len(kept["probe_rows"]) <= 10
     with pytest.raises(Refused):
-        Pipeline("none", predict=lab.predict_mean)
+        Pipeline("none", predict=small.predict_mean)
     with pytest.raises(ValueError):
-        Pipeline("lambda", lambda v, p: 0, lab.predict_mean)
+        Pipeline("lambda", lambda v, p: 0, small.predict_mean)
 
 
 def test_records(spark, tmp_path):
     log = EventLog(str(tmp_path), "ann")
     with pytest.raises(Refused):
         ds.resolve(log)
-    own = lab.ingest(spark, log, "100")
-    assert lab.ingest(spark, log, "100") == own and len(log.scan("dataset_recorded")) == 1
+    own = small.ingest(spark, log, "100")
+    assert small.ingest(spark, log, "100") == own and len(log.scan("dataset_recorded")) == 1
     df = spark.read.parquet(log.table("rows", own)).drop("row_id")
     with pytest.raises(Refused, match="another recipe"):
         ds.record(log, df, order=["ts", "k"], source="other", targets=["y"])
@@ -117,13 +117,13 @@ def test_records(spark, tmp_path):
     with pytest.raises(KeyError):
         ds.record(log, df, order=["ts", "k"], source="wrong", targets=["z"])
     assert ds.visible(data, data.clock(), 50, 40).where("y is not null").count() == 39
-    scorer = Scorer(lab.series, lab.metrics, {"mse": "min"})
+    scorer = Scorer(small.series, small.metrics, {"mse": "min"})
     e = Evaluation(sealed, WalkForward(60, 40, 40, embargo_rows=1, min_folds=1), scorer, "final", sealed=True)
-    assert not run(spark, log, e, [lab.MEAN], probe=False).failed and run(spark, log, e, [lab.MEAN], probe=False).scores_reused == 1
+    assert not run(spark, log, e, [small.MEAN], probe=False).failed and run(spark, log, e, [small.MEAN], probe=False).scores_reused == 1
     with pytest.raises(Refused, match="not known yet"):
-        run(spark, log, Evaluation(sealed, Holdout(60), scorer, sealed=True), [lab.MEAN])
+        run(spark, log, Evaluation(sealed, Holdout(60), scorer, sealed=True), [small.MEAN])
     with pytest.raises(Refused, match="sealed"):
-        run(spark, log, Evaluation(sealed, Holdout(60), scorer), [lab.MEAN])
+        run(spark, log, Evaluation(sealed, Holdout(60), scorer), [small.MEAN])
     other = EventLog(str(tmp_path), "bob")
     assert ds.resolve(other, "sealed") == sealed
 
@@ -174,7 +174,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     root = ["--root", str(tmp_path)]
     assert cli.main([*root, "note", "hi"]) == 2
     monkeypatch.setenv("FOLDSTONE_ACTOR", "ann")
-    assert cli.main([*root, "ingest", "lab_project", "60"]) == 0
-    assert cli.main(["run", "lab_project", "--dry-run", *root]) == 0 and "fits 6 (+0)" in capsys.readouterr().out
+    assert cli.main([*root, "ingest", "small_project", "60"]) == 0
+    assert cli.main(["run", "small_project", "--dry-run", *root]) == 0 and "fits 6 (+0)" in capsys.readouterr().out
     assert cli.main([*root, "note", "about nothing", "--about", "nobody"]) == 1
     assert cli.main([*root, "note", "about it", "--tag", "idea", "--about", EventLog(str(tmp_path)).scan("dataset_recorded")[0]["id"]]) == 0
