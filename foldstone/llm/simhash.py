@@ -39,10 +39,11 @@ from foldstone.llm.common import small_enough, stored
 from foldstone.llm.graph import components
 
 _CHUNK = 1 << 16
-_SAMPLE = 10_000  # texts whose shingles are counted for the order of the prefix join
-_MOST_COUNTED = 500_000
+_SAMPLE = 40_000_000  # bytes of text whose shingles are counted for the order of the prefix join
+_SPARSEST = 16  # and at least one text of so many
+_MOST_COUNTED = 500_000  # shingles of 16 bytes that go to the driver
 _MOST_HELD = 4_000_000  # shingle hashes that a task keeps
-_MOST_BROADCAST = 2_000_000  # nodes of 24 bytes
+_MOST_BROADCAST = 500_000  # rows of up to three longs; a table of them takes a few hundred bytes a row of the driver's memory
 _HOT = 4096  # members of a bucket from which it is dealt to several
 
 
@@ -223,8 +224,12 @@ def _node(text: bytes | None) -> int:
 
 
 def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of the shingles found in two or more sampled texts, their counts, and how many texts one sampled stands for."""
-    every = max(1, round(thin.count() / _SAMPLE))
+    """Sorted hashes of the shingles found in two or more sampled texts, their counts, and how many texts one sampled stands for.
+
+    The most frequent ``_MOST_COUNTED`` go to the driver, as Arrow columns and without a sort.
+    """
+    size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    every = max(1, min(_SPARSEST, size // _SAMPLE))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,8 +237,15 @@ def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, i
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), width)).view(np.int64))], ["h"])
 
     counts = thin.where(F.pmod(F.xxhash64(F.lit("often"), "raw"), F.lit(every)) == 0).mapInArrow(sets, "h long").groupBy("h").count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "h").limit(_MOST_COUNTED).toPandas()
-    hashes, n = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    counts = stored(counts, "counts")
+    least, room = 1, _MOST_COUNTED
+    for often, n in sorted(map(tuple, counts.groupBy("count").agg(F.count("*")).collect()), reverse=True):
+        if n > room:
+            least = often
+            break
+        room -= n
+    top = counts.where(F.col("count") > least).union(counts.where((F.col("count") == least) & (F.lit(least) > 1)).limit(room)).toArrow()
+    hashes, n = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order], every
 
@@ -243,14 +255,14 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
 
     ``thin`` has (raw, text), ``classes`` (raw, node, root).  A common shingle counts only where what follows it in both sets still
     allows the similarity.  Buckets that look large in the sample are dropped if all their members have one root, else
-    dealt by node into blocks, one bucket for each two.
+    dealt by node into blocks, one bucket for each two.  Classes are as many as the texts, so they are never sent whole.
     """
     sent = thin.sparkSession.sparkContext.broadcast(_frequencies(thin, width))
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, every = sent.value
         for batch in batches:
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = np.unique(shingle_hashes(x.as_py(), width))
                 if not len(s):
@@ -261,16 +273,14 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
                     often = np.where(known[place] == s, counts[place], 0)
                 first = np.argsort(often, kind="stable")[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
                 blocks = np.maximum(-(-often[first] * every // _HOT), 1)
-                for column, value in zip(out, (i, len(s), s[first].view(np.int64), np.arange(len(first), dtype=np.int32), blocks.astype(np.int32))):
+                for column, value in zip(out, (i, len(s), s[first].view(np.int64), blocks.astype(np.int32) if (blocks > 1).any() else None)):
                     column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "ats", "blocks"])
-
-    if small_enough(classes, _MOST_BROADCAST):
-        classes = F.broadcast(classes)
-    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, ats array<int>, blocks array<int>").join(classes, "raw")
-    rows = stored(rows.select("node", "root", "n", "keys", "ats", "blocks"), "prefixes")
-    each = rows.select("node", "root", "n", F.explode(F.arrays_zip("keys", "ats", "blocks")).alias("z")).select(F.col("z.keys").alias("key"), "node", "root", "n", F.col("z.ats").alias("at"), F.col("z.blocks").alias("blocks"))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "blocks"])
+
+    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, blocks array<int>").join(classes, "raw")
+    rows = stored(rows.select("node", "root", "n", "keys", "blocks"), "prefixes")
+    each = rows.select("node", "root", "n", "blocks", F.posexplode("keys").alias("at", "key")).select("key", "node", "root", "n", "at", F.coalesce(F.get("blocks", F.col("at")), F.lit(1)).alias("blocks"))
     hot = stored(each.where("blocks > 1"), "hot")
     mixed = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
@@ -360,7 +370,7 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text
     raws = groups.groupBy("raw").agg(F.first("keep").alias("keep"), F.count("*").alias("n"))
     raws = stored(raws.where(~F.col("keep") | (F.col("n") > 1)).select(F.col("raw").alias("__r"), "keep"), "gone")
     gone, again = raws.where(~F.col("keep")).select("__r"), raws.where("keep").select("__r")
-    fits = lambda df: F.broadcast(df) if small_enough(df, 4_000_000) else df
+    fits = lambda df: F.broadcast(df) if small_enough(df, _MOST_BROADCAST) else df
     keyed = docs.withColumn("__raw", F.xxhash64(id_col, text_col))
     kept = keyed.join(fits(gone), F.col("__raw") == F.col("__r"), "left_anti")
     if again.limit(1).count():

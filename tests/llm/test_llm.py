@@ -411,6 +411,21 @@ def test_near_duplicates_of_a_large_family(spark):
     assert groups.where("component_id = 0").count() == n and simhash.keep_one(docs, groups).count() == 1
 
 
+def test_near_dedup_keeps_its_driver_small(spark, monkeypatch):
+    """No table goes to all tasks beyond the limit, and a few long texts are sampled like many short ones."""
+    docs = docs_of(spark, [(i, " ".join(f"w{j}" for j in range(60)) + f" x{i // 2 * 2} {'y' * (i % 2)}", "en", "s") for i in range(40)] + [(50, "alone in here", "en", "s")])
+    kept = lambda: sorted(r["doc_id"] for r in simhash.keep_one(docs, simhash.near_duplicates(docs)).collect())
+    monkeypatch.setattr(simhash, "_MOST_BROADCAST", 0)
+    monkeypatch.setattr(F, "broadcast", lambda df: pytest.fail("sent whole") if df.count() else df)
+    assert kept() == [0, 50]
+    monkeypatch.setattr(simhash, "_SAMPLE", 10_000)
+    monkeypatch.setattr(simhash, "_MOST_COUNTED", 25)
+    long = spark.range(2000).selectExpr("id as raw", "cast(concat_ws(' ', transform(sequence(1, 50), k -> concat('w', k))) as binary) as text")
+    hashes, counts, every = simhash._frequencies(long, 5)
+    assert every == 16 and len(hashes) == len(counts) == 25 and 60 < min(counts) <= max(counts) < 200
+    assert (np.sort(hashes) == hashes).all()
+
+
 # ---- pipeline
 
 def test_pipeline(spark, documents):
