@@ -14,8 +14,10 @@ tables over ``prints`` fingerprints of the set of two-word shingles (which an ed
 with the first of its bucket, so a family of thousands puts out its members and not its pairs.  The pairs they don't
 join come from an exact prefix join: with the shingles of every set in one order, two sets at the similarity share one
 of their first n - ceil(similarity * n) + 1, so no linked pair is missed.  The order is rare first, by frequencies in
-a sample of texts: it decides what the join costs and never what it finds.  Every candidate pair of distinct texts is
-confirmed on its whole sets of five-word shingles.  Texts are known by 64-bit hashes of their words.
+a sample of texts: it decides what the join costs and never what it finds.  Pairs of that join first meet as counts of
+their shingles by bits of their hashes, which bound from above what two sets share: only pairs that can't have the
+similarity go.  Every other candidate pair of distinct texts is confirmed on its whole sets of five-word shingles.  Texts
+are known by 64-bit hashes of their words.
 
 Edge cases: null and wordless texts have fingerprint 0, linked like any other; texts shorter than a shingle count as
 one; a null id takes part and, if alone, has a null component; repeated rows, and different texts under one id, are
@@ -223,6 +225,23 @@ def _node(text: bytes | None) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _sketch(hashes: np.ndarray) -> bytes | None:
+    """How many of the hashes have each value of their low bits, with about 2 to 4 for each; None if a count exceeds a byte."""
+    buckets = max(64, 1 << (max(len(hashes) - 1, 1) // 4).bit_length())
+    counts = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _may_have(x: bytes | None, y: bytes | None, similarity: float) -> bool:
+    """Whether sets with these sketches may have the similarity: they share no more than the lesser counts."""
+    if x is None or y is None:
+        return True
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    b = b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64)
+    most = int(np.minimum(a, b).sum())
+    return most >= similarity * (int(a.sum(dtype=np.int64)) + int(b.sum()) - most) - 1e-6
+
+
 def _frequencies(thin: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted hashes of the shingles found in two or more sampled texts, their counts, and how many texts one sampled stands for.
 
@@ -262,7 +281,7 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, every = sent.value
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = np.unique(shingle_hashes(x.as_py(), width))
                 if not len(s):
@@ -273,13 +292,13 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
                     often = np.where(known[place] == s, counts[place], 0)
                 first = np.argsort(often, kind="stable")[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
                 blocks = np.maximum(-(-often[first] * every // _HOT), 1)
-                for column, value in zip(out, (i, len(s), s[first].view(np.int64), blocks.astype(np.int32) if (blocks > 1).any() else None)):
+                for column, value in zip(out, (i, len(s), s[first].view(np.int64), blocks.astype(np.int32) if (blocks > 1).any() else None, _sketch(s))):
                     column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "blocks"])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "blocks", "sketch"])
 
-    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, blocks array<int>").join(classes, "raw")
-    rows = stored(rows.select("node", "root", "n", "keys", "blocks"), "prefixes")
+    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, blocks array<int>, sketch binary").join(classes, "raw")
+    rows = stored(rows.select("node", "root", "n", "keys", "blocks", "sketch"), "prefixes")
     each = rows.select("node", "root", "n", "blocks", F.posexplode("keys").alias("at", "key")).select("key", "node", "root", "n", "at", F.coalesce(F.get("blocks", F.col("at")), F.lit(1)).alias("blocks"))
     hot = stored(each.where("blocks > 1"), "hot")
     mixed = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -291,7 +310,14 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return (x[2] != y[2]) & (np.minimum(x[3] - x[4], y[3] - y[4]) >= share * (x[3] + y[3]) - 1e-6)
 
-    return _bucket_pairs(each.where("blocks = 1").drop("blocks").union(dealt), near)
+    def may_have(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [_may_have(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    met = _bucket_pairs(each.where("blocks = 1").drop("blocks").union(dealt), near)
+    sketch = lambda of: rows.select(F.col("node").alias(of), F.col("sketch").alias(f"of_{of}"))
+    return met.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(may_have, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, prints: int = 2, radius: int = 3, most_bits: int = 16) -> DataFrame:

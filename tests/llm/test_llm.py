@@ -426,6 +426,32 @@ def test_near_dedup_keeps_its_driver_small(spark, monkeypatch):
     assert (np.sort(hashes) == hashes).all()
 
 
+def test_prefix_join_drops_pairs_that_share_a_passage(spark, monkeypatch):
+    """Texts go only to pairs that may have the similarity, though the sample doesn't tell that what they share is common."""
+    monkeypatch.setattr(simhash, "_MOST_COUNTED", 1)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(150)]
+    rows = [(i, " ".join(passage + [word() for _ in range(180)])) for i in range(60)]
+    rows.append((60, rows[0][1] + " " + " ".join(word() for _ in range(30))))
+    docs = spark.createDataFrame(rows, "raw long, text string").withColumn("text", F.col("text").cast("binary"))
+    classes = spark.createDataFrame([(i, i, i) for i, _ in rows], "raw long, node long, root long")
+    assert {(r["a"], r["b"]) for r in simhash.prefix_pairs(docs, classes, width=5, similarity=0.8).collect()} == {(0, 60)}
+
+
+def test_sketches_drop_no_pair_of_the_similarity():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 5, 63, 64, 65, 255, 257, 513, 1025, 5000] * 8:
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        gone, more = rng.integers(0, n // 10 + 1), rng.integers(0, n // 10 + 1)
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, more).astype(np.uint64)])
+        for x, y in ((a, b), (b, a)):
+            assert (n - gone) / (n + more) < 0.8 or simhash._may_have(simhash._sketch(x), simhash._sketch(y), 0.8)
+    same = np.arange(300, dtype=np.uint64) << np.uint64(40)  # no room in a byte: not dropped
+    assert simhash._sketch(same) is None and simhash._may_have(None, simhash._sketch(a), 0.8)
+    assert not simhash._may_have(simhash._sketch(a), simhash._sketch(rng.integers(0, 2**63, n).astype(np.uint64)), 0.8)
+
+
 # ---- pipeline
 
 def test_pipeline(spark, documents):
