@@ -43,3 +43,17 @@ def words_in(text: Column) -> Column:
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows: the proof asked for before a broadcast."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is never sent whole.
+
+    Spark tells sizes from compressed files and takes an explode to give a row for each row, so left to itself it may
+    send what the driver can't hold.
+    """
+    return df.hint("merge")
+
+
+def sent_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` as the side of a join: broadcast if it has at most ``most_rows`` rows, else shuffled."""
+    return F.broadcast(df) if small_enough(df, most_rows) else shuffled(df)

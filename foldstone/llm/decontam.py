@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import small_enough, stored
+from foldstone.llm.common import sent_if_small, shuffled, small_enough, stored
 
 _TOKEN = re.compile(r"\d(?:[\d.,]*\d)?|[^\W\d_]+|[.!?\n]|[%$€£]")
 _STOPS = frozenset(".!?\n")
@@ -42,6 +42,7 @@ HIT = "hash long, id long, pos int, way int, length int, slots array<struct<at:i
 
 _WORD, _CAP, _STOP, _NUMBER, _AS_UNIT = 0, 1, 2, 3, 4
 _LONGER, _EXACT = 3, 4  # ways besides the three readings
+_MOST_DOCUMENTS = 500_000  # rows of up to two longs that are broadcast; they take a few hundred bytes each of the driver's memory
 
 
 class _Codes(dict):
@@ -236,9 +237,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, HIT)
     if wanted is None:
-        found = found.join(items.select("hash").distinct(), "hash", "left_semi")
+        found = found.join(shuffled(items.select("hash").distinct()), "hash", "left_semi")
     found = stored(found, "found")  # only windows with a partner
-    fits = lambda df: F.broadcast(df) if wanted is not None else df
+    fits = lambda df: F.broadcast(df) if wanted is not None else shuffled(df)
     # Coverage first, on each document's distinct windows, however often it repeats them; places and slots only for the
     # pairs that have it.
     theirs = items.groupBy("hash", F.col("id").alias("item_id"), F.col("way").alias("item_way")).agg(F.array_sort(F.collect_set("pos")).alias("places"))
@@ -249,7 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     enough = stored(matched.join(fits(sizes), ["item_id", "by"]).withColumn("coverage", F.col("matched") / F.col("item_windows")).where(F.col("coverage") >= coverage), "covered")
     candidates = enough.select("doc_id", "item_id").distinct()
     places = items.where(F.size("slots") > 0).select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("way").alias("item_way"), F.col("slots").alias("item_slots"))
-    own = found.where(F.size("slots") > 0).withColumnRenamed("id", "doc_id").join(candidates, "doc_id")
+    own = found.where(F.size("slots") > 0).withColumnRenamed("id", "doc_id").join(sent_if_small(candidates, _MOST_DOCUMENTS), "doc_id")
     hits = own.join(fits(places), ["hash", "item_id"]).select("doc_id", "item_id", "pos", "item_pos", "slots", "item_slots", _judged_by(F.greatest("way", "item_way")))
     pairs = hits.select(*pair, (F.col("pos") - F.col("item_pos")).alias("line"), F.explode(F.arrays_zip("slots", "item_slots")).alias("z"))
     votes = pairs.groupBy(*pair, "line", F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).count()
@@ -261,9 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     return judged.groupBy("doc_id", "item_id").agg(F.max("j").alias("j")).select("doc_id", "item_id", "j.matched", "j.item_windows", "j.coverage", "j.consistency")
 
 
-def decontaminate(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", most_broadcast: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", most_broadcast: int = _MOST_DOCUMENTS) -> DataFrame:
     """``docs`` without those that leak an item."""
     gone = stored(found.select(F.col("doc_id").alias("__gone")).distinct(), "leaky")
-    if small_enough(gone, most_broadcast):
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(sent_if_small(gone, most_broadcast), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import stored
+from foldstone.llm.common import shuffled, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,7 +15,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-    joined = both.join(least, F.col("u") == F.col("n"))
+    joined = both.join(shuffled(least), F.col("u") == F.col("n"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

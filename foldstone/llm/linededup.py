@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import small_enough, stored
+from foldstone.llm.common import shuffled, small_enough, stored
 
 _BLANK = " \t\r"
 _SALTS = 64
@@ -48,7 +48,7 @@ def dedup_lines(pages: DataFrame, *, host_col: str = "source", text_col: str = "
     else:
         salted = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         left = pages.withColumn("__own", F.pmod(F.xxhash64(F.col(text_col)), F.lit(_SALTS)).cast("int"))
-        joined = left.join(salted, F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
+        joined = left.join(shuffled(salted), F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains("__bad", F.xxhash64(_bare(x))))
     joined = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept))

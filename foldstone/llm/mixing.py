@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import small_enough, stored, words_in
+from foldstone.llm.common import shuffled, small_enough, stored, words_in
 
 _BUCKET = 1 << 40
 _PART = 10_000
@@ -97,7 +97,7 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         joined = sized.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("__s")))
     else:
         salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = sized.withColumn("__own", F.pmod(F.xxhash64(id_col, text_col), F.lit(64)).cast("int")).join(salted, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
+        joined = sized.withColumn("__own", F.pmod(F.xxhash64(id_col, text_col), F.lit(64)).cast("int")).join(shuffled(salted), F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
     joined = joined.withColumn("__k", key)
     of = F.floor(F.col("__k.u") / _BUCKET)
     more = F.coalesce((of < F.col("__cut")) | ((of == F.col("__cut")) & (F.col("__k") <= F.col("__last"))), F.lit(False))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import small_enough, stored
+from foldstone.llm.common import sent_if_small, shuffled, stored
 from foldstone.llm.graph import components
 
 _CHUNK = 1 << 16
@@ -116,11 +116,11 @@ def links_within_two(fps: DataFrame) -> DataFrame:
     distinct = stored(fps.select("fp").distinct(), "fps")
     keyed = distinct.select(_tables(distinct, 2).alias("key"), "fp")
     shared = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key")
-    near = keyed.join(shared, "key", "left_semi").select("fp").distinct()
+    near = keyed.join(shuffled(shared), "key", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(64)])
     balls = stored(near.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("ball")), "balls")
     owners = balls.groupBy("ball").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").select("ball", "least")
-    return balls.join(owners, "ball").where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+    return balls.join(shuffled(owners), "ball").where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -128,11 +128,11 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     fps = stored(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "simhash")
     linked = components(links_within_two(fps))
     owner = fps.groupBy("fp").agg(F.min("doc_id").alias("own"))
-    rooted = owner.join(linked, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = owner.join(shuffled(linked), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("own").alias("component_id"))
     # Fingerprints without a link keep their own id; only linked ones need the second join.
-    of = rooted.where(F.col("node").isNotNull()).join(least, "root").select("fp", "component_id").union(rooted.where(F.col("node").isNull()).select("fp", "own"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.where(F.col("node").isNotNull()).join(shuffled(least), "root").select("fp", "component_id").union(rooted.where(F.col("node").isNull()).select("fp", "own"))
+    return fps.join(shuffled(of), "fp").select("doc_id", "fp", "component_id")
 
 
 def star_pairs(reps: DataFrame, *, radius: int, most_bits: int) -> DataFrame:
@@ -143,7 +143,7 @@ def star_pairs(reps: DataFrame, *, radius: int, most_bits: int) -> DataFrame:
     each = reps.select("node", F.posexplode("fps").alias("print", "fp"))
     keyed = each.select(_tables(each, radius, F.col("print")).alias("key"), "node", "fp")
     first = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.node").alias("a"), F.col("p.fp").alias("of"))
-    near = keyed.join(first, "key").where((F.col("node") != F.col("a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= most_bits))
+    near = keyed.join(shuffled(first), "key").where((F.col("node") != F.col("a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= most_bits))
     return near.select("a", F.col("node").alias("b")).distinct()
 
 
@@ -297,13 +297,13 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], ["raw", "n", "keys", "blocks", "sketch"])
 
-    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, blocks array<int>, sketch binary").join(classes, "raw")
+    rows = thin.mapInArrow(prefixed, "raw long, n int, keys array<bigint>, blocks array<int>, sketch binary").join(shuffled(classes), "raw")
     rows = stored(rows.select("node", "root", "n", "keys", "blocks", "sketch"), "prefixes")
     each = rows.select("node", "root", "n", "blocks", F.posexplode("keys").alias("at", "key")).select("key", "node", "root", "n", "at", F.coalesce(F.get("blocks", F.col("at")), F.lit(1)).alias("blocks"))
     hot = stored(each.where("blocks > 1"), "hot")
     mixed = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("other")
-    dealt = hot.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = hot.join(shuffled(mixed), "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), "node", "root", "n", "at")
     share = similarity / (1 + similarity)
 
@@ -316,7 +316,7 @@ def prefix_pairs(thin: DataFrame, classes: DataFrame, *, width: int, similarity:
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     met = _bucket_pairs(each.where("blocks = 1").drop("blocks").union(dealt), near)
-    sketch = lambda of: rows.select(F.col("node").alias(of), F.col("sketch").alias(f"of_{of}"))
+    sketch = lambda of: shuffled(rows.select(F.col("node").alias(of), F.col("sketch").alias(f"of_{of}")))
     return met.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(may_have, "a long, b long")
 
 
@@ -362,33 +362,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def links(pairs: DataFrame) -> DataFrame:
         """(u, v): links of at least the similarity that give all components of the pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "raw"), "node")
-        if small_enough(wanted, _MOST_BROADCAST):
-            wanted = F.broadcast(wanted)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(shuffled(reps.select("node", "raw")), "node")
         # Texts are sent to their pairs, as they compress better than hashes of their shingles.
-        held = stored(thin.join(wanted, "raw").select("node", "text"), "texts")
+        held = stored(thin.join(sent_if_small(wanted, _MOST_BROADCAST), "raw").select("node", "text"), "texts")
+        texts = lambda of: shuffled(held.select(F.col("node").alias(of), F.col("text").alias(f"t{of}")))
 
         def confirmed(some: DataFrame) -> DataFrame:
-            both = some.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            return both.select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long").distinct()
+            return some.join(texts("b"), "b").join(texts("a"), "a").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long").distinct()
 
         # First each text against its least partner; then only pairs that those links don't join already, so that a family
         # of thousands costs its members and not its pairs.
         stars = stored(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a"))), "stars")
-        root = lambda of: stars.select(F.col("b").alias(f"of_{of}"), F.col("a").alias(f"root_{of}"))
+        root = lambda of: shuffled(stars.select(F.col("b").alias(f"of_{of}"), F.col("a").alias(f"root_{of}")))
         rest = pairs.join(root("a"), F.col("a") == F.col("of_a"), "left").join(root("b"), F.col("b") == F.col("of_b"), "left")
-        rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+        rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(shuffled(stars), ["a", "b"], "left_anti")
         return stored(stars.union(confirmed(rest)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
     close = links(stored(star_pairs(reps, radius=radius, most_bits=most_bits), "pairs"))
     roots = components(close).withColumnRenamed("node", "of")
-    classes = stored(reps.join(roots, F.col("node") == F.col("of"), "left").select("raw", "node", F.coalesce("root", "node").alias("root")), "classes")
+    classes = stored(reps.join(shuffled(roots), F.col("node") == F.col("of"), "left").select("raw", "node", F.coalesce("root", "node").alias("root")), "classes")
     far = links(stored(prefix_pairs(thin.select("raw", "text"), classes, width=width, similarity=similarity), "pairs"))
     linked = components(close.union(far)).withColumnRenamed("node", "of")
-    of = reps.join(linked, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    of = reps.join(shuffled(linked), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     first = of.groupBy("root").agg(F.min("least").alias("first"))
-    own = of.join(first, "root").select("node", "first")
-    return all_.join(own, "node").select("doc_id", "raw", F.col("first.doc_id").alias("component_id"), (F.col("raw") == F.col("first.raw")).alias("keep"))
+    own = of.join(shuffled(first), "root").select("node", "first")
+    return all_.join(shuffled(own), "node").select("doc_id", "raw", F.col("first.doc_id").alias("component_id"), (F.col("raw") == F.col("first.raw")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,7 +394,7 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text
     raws = groups.groupBy("raw").agg(F.first("keep").alias("keep"), F.count("*").alias("n"))
     raws = stored(raws.where(~F.col("keep") | (F.col("n") > 1)).select(F.col("raw").alias("__r"), "keep"), "gone")
     gone, again = raws.where(~F.col("keep")).select("__r"), raws.where("keep").select("__r")
-    fits = lambda df: F.broadcast(df) if small_enough(df, _MOST_BROADCAST) else df
+    fits = lambda df: sent_if_small(df, _MOST_BROADCAST)
     keyed = docs.withColumn("__raw", F.xxhash64(id_col, text_col))
     kept = keyed.join(fits(gone), F.col("__raw") == F.col("__r"), "left_anti")
     if again.limit(1).count():

@@ -426,6 +426,39 @@ def test_near_dedup_keeps_its_driver_small(spark, monkeypatch):
     assert (np.sort(hashes) == hashes).all()
 
 
+def test_spark_sends_no_side_that_grows(spark, monkeypatch):
+    """Sizes told from files are too low after an explode, so no join of a table that grows is left to Spark's choice."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (simhash, graph, linededup, mixing, decontam):
+        monkeypatch.setattr(module, "stored", lambda df, tag, real=module.stored: real(seen(df), tag))
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(10)]
+    docs = docs_of(spark, [(i, texts[i // 2] + " more" * (i % 2), "en", "s") for i in range(20)])
+    monkeypatch.setattr(simhash, "_MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontam, "_MOST_DOCUMENTS", 0)
+    kept = seen(simhash.keep_one(docs, seen(simhash.near_duplicates(docs)))).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 20, 2))
+    ids = seen(simhash.simhash_components(docs)).collect()
+    assert len(ids) == 20 and all(r["component_id"] <= r["doc_id"] for r in ids)
+    benchmark = spark.createDataFrame([(0, texts[3])], "item_id long, text string")
+    found = decontam.leaks(docs, benchmark, most_broadcast=0)
+    left = seen(decontam.decontaminate(docs, found, most_broadcast=0)).collect()
+    assert sorted({r["doc_id"] for r in left} ^ set(range(20))) == [6, 7]
+    salted = [seen(linededup.dedup_lines(docs, most_broadcast=0)), seen(mixing.decide(docs, most_broadcast=0))]
+    assert all(df.count() == 20 for df in salted)
+    joins = [line.strip(" :+-*()0123456789") for p in plans for line in p.splitlines() if "Join" in line]
+    assert joins
+    sent = [j for j in joins if j.startswith("BroadcastHashJoin")]
+    small = ("__s", "s#", "source", "host")  # a row for each source
+    assert [j for j in sent if not any(x in j for x in small)] == []
+
+
 def test_prefix_join_drops_pairs_that_share_a_passage(spark, monkeypatch):
     """Texts go only to pairs that may have the similarity, though the sample doesn't tell that what they share is common."""
     monkeypatch.setattr(simhash, "_MOST_COUNTED", 1)
