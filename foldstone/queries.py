@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -393,7 +394,7 @@ def paired_rows(spark, d):
     a = p.select("fold", "unit", ((F.col("value") - F.col("mean")) ** 2).alias("x"))
     b = p.select("fold", "unit", ((F.col("value") - F.col("user_id")) ** 2).alias("x"))
     got = scoring.paired(a, b, "x")
-    return spark.createDataFrame([(got.n, round(got.pooled_delta, 3), round(got.se_iid, 4), ",".join(str(round(v)) for v in got.fold_deltas.values()))], "n long, pooled_delta double, se_iid double, fold_deltas string")
+    return spark.createDataFrame([(got.n, round(got.pooled_delta, 3), round(got.se_iid, 4), ",".join(str(int(Decimal(v).to_integral_value(ROUND_HALF_UP))) for v in got.fold_deltas.values()))], "n long, pooled_delta double, se_iid double, fold_deltas string")
 
 
 @query(f"{_MEAN} SELECT (fold * (SELECT n // 5 FROM n) + row_id - (SELECT min(row_id) FROM t u WHERE u.fold = t.fold)) // 64 AS block, round(sum(value - mean), 4) AS s FROM t GROUP BY 1")

@@ -1,6 +1,7 @@
 """Operators on small tables, the log, and every registered query against its SQL."""
 
 import datetime as dt
+import math
 import threading
 
 import duckdb
@@ -99,6 +100,18 @@ def test_paired_is_of_sums(spark):
     assert scoring.paired(holed, a, "v").pooled_delta is None
 
 
+def test_paired_sums_are_exact(spark):
+    """However rows are dealt, the sums are those of math.fsum."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-12, 17, 3000), [1e16, 1.0, -1e16, 5e-324, 0.0, -2.5e300, 2.5e300]])
+    a = spark.createDataFrame([(i % 3, i // 3, float(v)) for i, v in enumerate(x)], "fold int, unit int, v double")
+    zero = a.withColumn("v", F.lit(0.0))
+    for parts in (1, 7):
+        p = scoring.paired(a.repartition(parts, "unit"), zero, "v")
+        assert p.pooled_delta == math.fsum(x) and p.fold_deltas == {k: math.fsum(x[k::3]) for k in range(3)}
+    assert scoring.paired(a.withColumn("v", F.lit(float("inf"))), zero, "v").pooled_delta == float("inf")
+
+
 def test_identity(spark):
     f = spark.createDataFrame([(0, None), (1, ""), (2, "x")], "row_id long, c string")
     g = spark.createDataFrame([(0, ""), (1, ""), (2, "x")], "row_id long, c string")
