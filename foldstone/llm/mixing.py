@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import shuffled, small_enough, stored, words_in
+from foldstone.llm.common import sent_if_small, shuffled, small_enough, stored, words_in
 
 _BUCKET = 1 << 40
 _PART = 10_000
@@ -82,6 +82,7 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     own = targets.select(F.col("source").alias("s"), "rest")
     cut = placed.join(own, F.col("source").eqNullSafe(F.col("s"))).where(F.col("ahead") + F.col("bucket_size") > F.col("rest"))
     cut = cut.groupBy("source").agg(F.min_by(F.struct("b", "ahead", "rest"), "b").alias("c")).select(F.col("source").alias("s"), "c.*")
+    cut = sent_if_small(stored(cut, "mix-cut"), most_broadcast)
     inside = W.partitionBy("s").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     edge = thin.withColumn("own_b", bucket).join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("own_b") == F.col("b")))
     start = F.col("ahead") + F.coalesce(F.sum(words).over(inside), F.lit(0))

@@ -459,6 +459,18 @@ def test_spark_sends_no_side_that_grows(spark, monkeypatch):
     assert [j for j in sent if not any(x in j for x in small)] == []
 
 
+def test_mixing_sends_its_sources_and_not_its_documents(spark, monkeypatch):
+    plans = []
+    real = mixing.small_enough
+    monkeypatch.setattr(mixing, "small_enough", lambda df, most: plans.append(df) or real(df, most))
+    monkeypatch.setattr(mixing, "stored", lambda df, tag, of=mixing.stored: of(plans.append(df) or df, tag))
+    docs = docs_of(spark, [(i, f"some text {i}", "en", "s") for i in range(20)])
+    assert mixing.decide(docs).count() == 20
+    text = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    joins = [line for p in text for line in p.splitlines() if "own_b" in line and "Join" in line]
+    assert joins and all("BroadcastHashJoin" in x and "BuildRight" in x for x in joins)
+
+
 def test_prefix_join_drops_pairs_that_share_a_passage(spark, monkeypatch):
     """Texts go only to pairs that may have the similarity, though the sample doesn't tell that what they share is common."""
     monkeypatch.setattr(simhash, "_MOST_COUNTED", 1)
